@@ -9,6 +9,7 @@ from ..operators import anomalies, asof, compaction, fill, rolling_totals, schem
 from ..operators.versions import latest_version
 from ..session import read_table
 from ..sources import minute_csv
+from .training_sql import ORACLES  # noqa: F401
 
 
 def day_text(day) -> F.Column:
