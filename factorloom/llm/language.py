@@ -216,8 +216,8 @@ def training_sample(df: DataFrame, ident: str, text: str, label: str, per_label:
     """
     norm = F.lower(F.trim(F.col(label)))
     code = F.element_at(F.split(norm, "[-_]"), 1)
-    for k, v in LABELS.items():
-        code = F.when(code == k, v).otherwise(code)
+    known = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    code = F.coalesce(known[code], code)
     usable = df.where(F.col(text).isNotNull() & (F.length(text) <= longest) & (F.length(F.trim(text)) > 0)).withColumn("_lang", code).where(F.col("_lang").isin(*LANGUAGES))
     heap = InternalFunction.collect_top_k(F.struct(F.xxhash64(text).alias("h"), F.col(ident).alias("id")), per_label, True)
     ids = usable.groupBy("_lang").agg(heap.alias("_top")).select("_lang", F.explode("_top.id").alias(ident))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, language
+from . import bpe, language, mixing
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the largest mixture of the target shares, and how often each is used."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, d)[1]
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return language.assign_languages(read_table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -28,5 +42,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d).select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"), "chars")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p10_found, p10_languages)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
 ORACLES: dict[str, str] = {}
