@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def modules() -> list:
     """The query modules of the core."""
-    from . import training
+    from . import formulas, training
 
-    return [training]
+    return [training, formulas]
