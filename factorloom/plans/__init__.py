@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def modules() -> list:
     """The query modules of the core."""
-    from . import formulas, training
+    from . import analytics, formulas, training
 
-    return [training, formulas]
+    return [training, formulas, analytics]

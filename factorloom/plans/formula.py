@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import panel_ops as ops
+from ..functions import indicators, panel_ops as ops
 from ..functions.panel_ops import Keys
+from ..functions.scans import SCANS
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,7 @@ ELEMENT: dict[str, Callable[..., Column]] = {
 WINDOWED: dict[str, tuple[int, Callable[..., Column]]] = {
     **{n: (1, getattr(ops, n)) for n in ("delay", "delta", "pct_change", "ffill", "bfill", "ts_sum", "ts_prod", "ts_min", "ts_max", "ts_mean", "ts_stddev", "ts_rank", "ts_argmax", "ts_cumsum_agg", "num_gt_mean", "num_lt_mean", "upper_center_squared_sum", "lower_center_squared_sum", "block_agg", "cs_rank", "cs_median", "cs_row", "cs_count", "cs_max", "cs_min", "normalize", "standardize", "clip_mad", "winsorize_quantile")},
     **{n: (2, getattr(ops, n)) for n in ("ts_cov", "ts_corr", "ts_linreg", "cs_linreg", "cs_mean", "cs_mean_by_industry", "industry_neutralize")},
+    **{n: (i + 1, getattr(indicators, n)) for i, ns in enumerate((indicators.ONE, indicators.TWO, indicators.THREE)) for n in ns},
 }
 ALIASES = {"rank": "cs_rank", "stddev": "ts_stddev", "shift": "delay", "diff": "delta", "clip": "clip_mad", "winsorize": "winsorize_quantile", "std": "ts_stddev", "correlation": "ts_corr", "covariance": "ts_cov"}
 COMPARISONS = LEVELS[0]
@@ -170,16 +172,6 @@ def parse(text: str) -> Node:
     return Parser(text).parse()
 
 
-def ewma_scan(pdf: pd.DataFrame, x: str, out: str, window: int, half_life: float | None = None) -> pd.DataFrame:
-    """Exponentially weighted mean along time from the first value; half_life defaults to window // 4 (0: the value itself)."""
-    hl = window // 4 if half_life is None else half_life
-    s = pdf[x] if not hl else pdf[x].ewm(alpha=1 - 0.5 ** (1 / hl), adjust=False).mean()
-    return pdf.assign(**{out: s})
-
-
-SCANS: dict[str, Callable[..., pd.DataFrame]] = {"ewma": ewma_scan}
-
-
 def lookback(node: Node) -> int:
     """Rows of history a formula needs before its first full value, nested windows added up."""
     inner = max((lookback(a) for a in [*node.args, *(v for _, v in node.named)]), default=0)

@@ -144,6 +144,39 @@ FORMULAS: dict[str, tuple[str, str]] = {
     "fx_neutralize_regression": ("industry_neutralize(close, industry, 'regression')", "select p.ticker, p.trade_date, case when industry is null or close is null then close when kinds > 1 then close - avg(close) over (partition by p.trade_date, industry) else close end as value from p join (select trade_date, count(distinct industry) filter (close is not null) as kinds from p group by trade_date) n on p.trade_date = n.trade_date"),
     "fx_nested_factor": ("cs_rank(ts_argmax(signedpower(pct_chg < 0 ? ts_stddev(pct_chg, 5) : close, 2.0), 5))", f"select ticker, trade_date, case when a is not null then cast(dense_rank() over (partition by trade_date order by a desc nulls last) as double) end as value from (select ticker, trade_date, case when c >= 5 and k > 0 then list_position(l, list_max(l)) - 1 end as a from (select ticker, trade_date, count(*) over {_w(5)} as c, count(s) over {_w(5)} as k, list(coalesce(s, '-infinity'::double)) over {_w(5)} as l from (select ticker, trade_date, sign(x) * pow(abs(x), 2.0) as s from (select ticker, trade_date, case when pct_chg < 0 then {_full('stddev_samp(pct_chg)', 'pct_chg', 5)} else close end as x from p))))"),
     "fx_momentum_vol": ("(close / delay(close, 20) - 1) / ts_stddev(pct_change(close, 1), 20)", f"select ticker, trade_date, (close / nullif(l20, 0) - 1) / nullif({_full('stddev_samp(r)', 'r', 20)}, 0) as value from (select ticker, trade_date, close, lag(close, 20) over {P} as l20, {_RET} as r from p)"),
+    # indicators, labels and signals
+    "ind_wma": ("wma(close, 5)", _lags("close", 5, [i / 15 for i in range(1, 6)])),
+    "ind_bollinger_upper": ("bollinger_upper(close, 20, 2.0)", _full("avg(close)", "close", 20).replace(" end", f" + 2.0 * stddev_pop(close) over {_w(20)} end")),
+    "ind_bollinger_lower": ("bollinger_lower(close, 20, 2.0)", _full("avg(close)", "close", 20).replace(" end", f" - 2.0 * stddev_pop(close) over {_w(20)} end")),
+    "ind_bollinger_percent": ("bollinger_percent(close, 20, 2.0)", f"case when count(close) over {_w(20)} >= 20 and stddev_pop(close) over {_w(20)} > 1e-9 then (close - avg(close) over {_w(20)} + 2 * stddev_pop(close) over {_w(20)}) / (4 * stddev_pop(close) over {_w(20)}) end"),
+    "ind_rolling_zscore": ("rolling_zscore(close, 20)", f"case when count(close) over {_w(20)} >= 20 and stddev_samp(close) over {_w(20)} > 1e-12 then (close - avg(close) over {_w(20)}) / stddev_samp(close) over {_w(20)} end"),
+    "ind_roc": ("roc(close, 10)", f"100 * (close / nullif(lag(close, 10) over {P}, 0) - 1)"),
+    "ind_log_return": ("log_return(close, 1)", f"case when close / nullif(lag(close, 1) over {P}, 0) > 0 then ln(close / lag(close, 1) over {P}) end"),
+    "ind_stoch_k": ("stoch_k(close, high, low, 14)", f"100 * (close - {_full('min(low)', 'low', 14)}) / nullif({_full('max(high)', 'high', 14)} - {_full('min(low)', 'low', 14)}, 0)"),
+    "ind_stoch_d": ("ts_mean(stoch_k(close, high, low, 14), 3)", f"select ticker, trade_date, {_full('avg(k)', 'k', 3)} as value from (select ticker, trade_date, 100 * (close - {_full('min(low)', 'low', 14)}) / nullif({_full('max(high)', 'high', 14)} - {_full('min(low)', 'low', 14)}, 0) as k from p)"),
+    "ind_williams_r": ("williams_r(close, high, low, 14)", f"-100 * ({_full('max(high)', 'high', 14)} - close) / nullif({_full('max(high)', 'high', 14)} - {_full('min(low)', 'low', 14)}, 0)"),
+    "ind_true_range": ("true_range(high, low, close)", f"case when high is not null and low is not null then greatest(high - low, abs(high - lag(close) over {P}), abs(low - lag(close) over {P})) end"),
+    "ind_atr": ("ts_mean(true_range(high, low, close), 14)", f"select ticker, trade_date, {_full('avg(tr)', 'tr', 14)} as value from (select ticker, trade_date, case when high is not null and low is not null then greatest(high - low, abs(high - lag(close) over {P}), abs(low - lag(close) over {P})) end as tr from p)"),
+    "ind_mean_deviation": ("mean_deviation(close, 10)", f"select ticker, trade_date, case when len(l) >= 10 then list_sum([abs(v - m) for v in l]) / 10 end as value from (select ticker, trade_date, {_list('close', 10)} as l, avg(close) over {_w(10)} as m from p)"),
+    "ind_cci": ("cci((high + low + close) / 3, 20)", f"select ticker, trade_date, case when len(l) >= 20 and list_sum([abs(v - m) for v in l]) > 2e-11 then (t - m) / (0.015 * list_sum([abs(v - m) for v in l]) / 20) end as value from (select ticker, trade_date, t, list(t) filter (t is not null) over {_w(20)} as l, avg(t) over {_w(20)} as m from (select ticker, trade_date, (high + low + close) / 3 as t from p))"),
+    "ind_aroon_up": ("aroon_up(high, 25)", f"select ticker, trade_date, case when len(l) >= 26 then 100.0 * (25 - (list_position(list_reverse(l), list_max(l)) - 1)) / 25 end as value from (select ticker, trade_date, {_list('high', 26)} as l from p)"),
+    "ind_aroon_down": ("aroon_down(low, 25)", f"select ticker, trade_date, case when len(l) >= 26 then 100.0 * (25 - (list_position(list_reverse(l), list_min(l)) - 1)) / 25 end as value from (select ticker, trade_date, {_list('low', 26)} as l from p)"),
+    "ind_obv": ("cumulative(signed_volume(close, volume))", f"select ticker, trade_date, sum(s) over {PAST} as value from (select ticker, trade_date, coalesce(sign(close - lag(close) over {P}) * volume, 0) as s from p)"),
+    "ind_vwap_rolling": ("ts_sum(amount, 10) / ts_sum(volume, 10)", f"{_full('sum(amount)', 'amount', 10)} / nullif({_full('sum(volume)', 'volume', 10)}, 0)"),
+    "ind_expanding_max": ("expanding_max(close)", f"max(close) over {PAST}"),
+    "ind_expanding_min": ("expanding_min(close)", f"min(close) over {PAST}"),
+    "ind_drawdown": ("drawdown(close)", f"close / nullif(max(close) over {PAST}, 0) - 1"),
+    "ind_donchian_width": ("ts_max(high, 20) - ts_min(low, 20)", f"{_full('max(high)', 'high', 20)} - {_full('min(low)', 'low', 20)}"),
+    "ind_ts_quantile": ("ts_quantile(close, 20, 0.25)", _full("quantile_cont(close, 0.25)", "close", 20)),
+    "ind_ts_count": ("ts_count(close, 20)", f"count(close) over {_w(20)}"),
+    "ind_rolling_sum_wide": ("rolling_sum_wide(close, 60)", _full("sum(close)", "close", 60)),
+    "sig_crossed_above": ("crossed_above(close, ts_mean(close, 10))", f"select ticker, trade_date, case when close > m and lag(close) over {P} <= lag(m) over {P} then 1 else 0 end as value from (select ticker, trade_date, close, {_full('avg(close)', 'close', 10)} as m from p)"),
+    "sig_crossed_below": ("crossed_below(close, ts_mean(close, 10))", f"select ticker, trade_date, case when close < m and lag(close) over {P} >= lag(m) over {P} then 1 else 0 end as value from (select ticker, trade_date, close, {_full('avg(close)', 'close', 10)} as m from p)"),
+    "lab_fixed": ("fixed_label(close, 5)", f"lead(close, 5) over {P} / nullif(close, 0) - 1"),
+    "lab_future_max": ("future_max(close, 5)", "case when count(close) over f >= 5 then max(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
+    "lab_future_min": ("future_min(close, 5)", "case when count(close) over f >= 5 then min(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
+    "lab_future_mean": ("future_mean(close, 5)", "case when count(close) over f >= 5 then avg(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
+    "lab_future_std": ("future_std(close, 5)", "case when count(close) over f >= 5 then stddev_pop(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
 }
 #: Formulas SQL doesn't express on whole tables; tested against pandas instead.
 UNSQL: dict[str, str] = {
@@ -156,6 +189,8 @@ UNSQL: dict[str, str] = {
     "fx_ts_cumsum_agg_min_backward": "ts_cumsum_agg(pct_chg, 4, 'min', 'backward')",
     "fx_clip_mad_rolling": "clip_mad(close, 3.0, cross_section=False, window=20)",
     "fx_winsorize_rolling": "winsorize_quantile(close, 0.1, 0.1, cross_section=False, window=20)",
+    "ind_ema": "ema(close, 12)", "ind_smma": "smma(close, 14)", "ind_dema": "dema(close, 10)", "ind_tema": "tema(close, 10)", "ind_macd": "macd(close, 12)", "ind_rsi": "rsi(close, 14)",
+    "ind_trix": "trix(close, 5)", "ind_kama": "kama(close, 10)", "ind_laguerre": "laguerre(close, 0)", "ind_skew": "ts_skew(pct_chg, 20)", "lab_trend": "trend_label(close, 0)", "sig_stop_exit": "stop_exit(close, 0)",
     "fx_neutralize_rank": "industry_neutralize(close, industry, 'rank')",
 }
 
