@@ -160,7 +160,7 @@ def ts_stddev(k: Keys, x: str, n: int, weight: bool = False, half_life: float |
     if not weight:
         return _full(k, x, n, F.stddev_samp(F.col(x)))
     m1, m2 = (ts_moment(k, [x] * p, n, half_life) for p in (1, 2))
-    return F.sqrt(F.greatest(m2 - m1 * m1, F.lit(0.0)))
+    return F.when(m2.isNotNull(), F.sqrt(F.greatest(m2 - m1 * m1, F.lit(0.0))))
 
 
 def ts_moment(k: Keys, xs: list[str], n: int, half_life: float | None) -> Column:

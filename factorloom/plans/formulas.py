@@ -110,7 +110,7 @@ FORMULAS: dict[str, tuple[str, str]] = {
     "fx_ts_mean": ("ts_mean(close, 10)", _full("avg(close)", "close", 10)),
     "fx_ts_mean_weighted": ("ts_mean(close, 5, weight=True, half_life=2.0)", _lags("close", 5, _HL)),
     "fx_ts_stddev": ("ts_stddev(close, 10)", _full("stddev_samp(close)", "close", 10)),
-    "fx_ts_stddev_weighted": ("ts_stddev(log(close), 5, weight=True, half_life=2.0)", f"select ticker, trade_date, sqrt(greatest(m2 - m1 * m1, 0)) as value from (select ticker, trade_date, {_lags('x', 5, _HL)} as m1, {_lags('x * x', 5, _HL)} as m2 from (select ticker, trade_date, case when close > 0 then ln(close) end as x from p))"),
+    "fx_ts_stddev_weighted": ("ts_stddev(log(close), 5, weight=True, half_life=2.0)", f"select ticker, trade_date, case when m2 is not null then sqrt(greatest(m2 - m1 * m1, 0)) end as value from (select ticker, trade_date, {_lags('x', 5, _HL)} as m1, {_lags('x * x', 5, _HL)} as m2 from (select ticker, trade_date, case when close > 0 then ln(close) end as x from p))"),
     "fx_ts_min": ("ts_min(close, 10)", _full("min(close)", "close", 10)),
     "fx_ts_max": ("ts_max(close, 10)", _full("max(close)", "close", 10)),
     "fx_ts_cov": ("ts_cov(close, open, 10)", f"case when count(close + open) over {_w(10)} >= 10 then covar_pop(close, open) over {_w(10)} end"),
