@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomalies, asof, compaction, fill, rolling_totals, schema_drift, topn
 from ..operators.versions import latest_version
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from ..sources import minute_csv
 from .training_sql import ORACLES  # noqa: F401
 
@@ -127,6 +127,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Columns added, removed, renamed or retyped from file to file of a symbol."""
     files = read_table(spark, d, "csv_files").where("year is not null and exchange is not null and symbol is not null").select("file_id", "exchange", "symbol", F.col("year").try_cast("int").alias("_y"), F.coalesce(F.col("month").try_cast("int"), F.lit(0)).alias("_m")).dropDuplicates(["file_id"])
     schemas = minute_csv.file_schemas(read_table(spark, d, "csv_contents")).join(files, "file_id").withColumn("_block", F.col("_y") * 16 + F.col("_m"))
+    schemas = cut_lineage(schemas)  # read three times below; parsed once
     before = schema_drift.previous_schema(schemas, ["exchange", "symbol"], "_block", ["_block", "file_id"])
     return schema_drift.drift_report(before).distinct()
 

@@ -148,7 +148,7 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
     """One row per file with at least one bar: file_id, columns (array of header, meaning, type, middle).
 
     meaning is the column the header names or empty, type null if all cells are missing,
-    middle the median of the numbers in it.
+    middle, for headers of no known meaning only, the median of the numbers in it.
     """
 
     def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
                 mine = []
                 for j, (h, m) in enumerate(zip(header, names, strict=True)):
                     values = [r[j] if j < len(r) else "" for r in rows]
-                    nums = [n for v in values if (n := number(v, m or "")) is not None] if m not in ("datetime", "ticker") else []
+                    nums = [n for v in values if (n := number(v, "")) is not None] if m is None else []
                     mine.append({"header": h, "meaning": m or "", "type": cell_type(values), "middle": float(np.median(nums)) if nums else None})
                 ids.append(i)
                 cols.append(mine)
