@@ -120,3 +120,63 @@ def rolling_totals(daily: DataFrame, entity: str, day: str, fields: Sequence[str
             yield pd.DataFrame(out)
 
     return shards.mapInPandas(answer, schema)
+
+
+def tree_table(daily: DataFrame, entity: str, day: str, field: str, leaves: int = 256, halo: int = 29) -> DataFrame:
+    """Stored segment trees of one field: entity, _shard, _lo, _hi, sums and counts (arrays in heap order, 2 * leaves long)."""
+    placed = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(entity, day, field)
+    shards = shard_leaves(placed, entity, day, [field], leaves, halo)
+    kept = [f for f in shards.schema.fields if f.name != "_leaves"]
+    schema = T.StructType([*kept, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sums", "counts")]])
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums, counts = _batch_trees(pdf, field, leaves)
+            yield pdf.drop(columns="_leaves").assign(sums=list(sums), counts=list(counts))
+
+    return shards.mapInPandas(build, schema)
+
+
+def correct_tree_table(trees: DataFrame, corrections: DataFrame, entity: str, day: str, leaves: int = 256, halo: int = 29) -> DataFrame:
+    """The stored trees after late corrections (entity, day, delta, added): only the changed leaves' ancestors are touched.
+
+    delta is what the day's total changes by, added what its count does (0 for a restated
+    value). The corrections are summed per day first, then meet their shard - and the next
+    one, where they lie in its halo - in one join; shards without a correction pass through.
+    Days outside the stored shards are left out.
+    """
+    own = leaves - halo
+    daily = corrections.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(entity, day).agg(F.sum("delta").alias("delta"), F.sum("added").alias("added"))
+    at = daily.withColumn("_shard", F.explode(F.sequence(F.floor(F.col(day) / own).cast("int"), F.floor((F.col(day) + halo) / own).cast("int"))))
+    leaf = F.struct((F.col(day) - F.col("_shard") * own + halo).cast("int").alias("leaf"), "delta", "added")
+    j = trees.join(at.groupBy(entity, "_shard").agg(F.collect_list(leaf).alias("_changes")), [entity, "_shard"], "left")
+
+    columns = trees.columns
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums, counts = [np.array(x, float) for x in pdf["sums"]], [np.array(x, float) for x in pdf["counts"]]
+            for s, c, changes in zip(sums, counts, pdf["_changes"], strict=True):
+                for x in changes if changes is not None else ():
+                    correct_tree(s, x["leaf"], x["delta"])
+                    correct_tree(c, x["leaf"], x["added"])
+            yield pdf[columns].assign(sums=sums, counts=counts)
+
+    return j.mapInPandas(apply, trees.schema)
+
+
+def totals_from_trees(trees: DataFrame, entity: str, day: str, window: int, leaves: int = 256, halo: int = 29) -> DataFrame:
+    """Total and count over the trailing window of every day of every entity, answered from stored trees."""
+    own, last = leaves - halo, np.arange(halo, leaves)
+    schema = T.StructType([trees.schema[entity], T.StructField(day, T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            days = pdf["_shard"].to_numpy(np.int64)[:, None] * own + np.arange(own)
+            inside = (days >= pdf["_lo"].to_numpy()[:, None]) & (days <= pdf["_hi"].to_numpy()[:, None])
+            sums, counts = (query_trees(np.array(pdf[c].tolist(), float), last - window + 1, last)[inside] for c in ("sums", "counts"))
+            yield pd.DataFrame({entity: np.repeat(pdf[entity].to_numpy(), inside.sum(1)), day: days[inside].astype(np.int32), "total": sums, "n": counts.astype(np.int64)})
+
+    return trees.mapInPandas(answer, schema)

@@ -230,3 +230,20 @@ def test_drift_report(spark):
     schemas = minute_csv.file_schemas(df).join(df.drop("raw_text"), "file_id")
     got = schema_drift.drift_report(schema_drift.previous_schema(schemas, ["symbol"], "blk", ["blk", "file_id"])).collect()
     assert bag(got) == bag([(2, "renamed", "代码"), (2, "retyped", "代码"), (2, "renamed", "open_px"), (2, "retyped", "datetime"), (2, "removed", "close"), (2, "added", "vol")])
+
+
+def test_stored_trees_after_late_corrections(spark):
+    rng = random.Random(6)
+    rows = [(t, d, float(rng.randint(1, 9))) for t in "ab" for d in range(0, 700, 3)]
+    fixes = [("a", 225, 5.0, 1), ("a", 226, -2.0, 1), ("b", 300, 4.0, 0), ("b", 300, 1.0, 0), ("z", 5, 1.0, 1), (None, 5, 1.0, 1)]
+    trees = rolling_totals.tree_table(spark.createDataFrame(rows, "k string, day int, v double"), "k", "day", "v")
+    fixed = rolling_totals.correct_tree_table(trees, spark.createDataFrame(fixes, "k string, day int, delta double, added int"), "k", "day")
+    got = {(r["k"], r["day"]): (r["total"], r["n"]) for r in rolling_totals.totals_from_trees(fixed, "k", "day", 30).collect()}
+    value, count = defaultdict(float), defaultdict(int)
+    for t, d, v in rows:
+        value[t, d] += v
+        count[t, d] += 1
+    for t, d, v, n in fixes:
+        value[t, d] += v
+        count[t, d] += n
+    assert got == {(t, d): (sum(value[t, e] for e in range(d - 29, d + 1)), sum(count[t, e] for e in range(d - 29, d + 1))) for t in "ab" for d in range(700)}
