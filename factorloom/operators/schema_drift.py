@@ -89,18 +89,26 @@ def edit_script(a: Node, b: Node) -> tuple[float, list[tuple[str, tuple[str, ...
 
     @lru_cache(maxsize=None)
     def solve(x: Node, y: Node) -> tuple[float, tuple[tuple[int, int], ...]]:
-        m, n = len(x.children), len(y.children)
         total = relabel(x, y)
+        # leaves that are the same on both sides cost nothing, and no other partner can do better
+        there = {c: j for j, c in enumerate(y.children) if not c.children}
+        same = [(i, there.pop(c)) for i, c in enumerate(x.children) if c in there]
+        taken = {i for i, _ in same}, {j for _, j in same}
+        xs, ys = ([k for k in range(len(t.children)) if k not in used] for t, used in zip((x, y), taken, strict=True))
+        m, n = len(xs), len(ys)
         if not m + n:
-            return total, ()
+            return total, tuple(same)
         big = np.zeros((m + n, m + n))
-        for i, c in enumerate(x.children):
-            for j, d in enumerate(y.children):
-                big[i, j] = solve(c, d)[0] + 1e-6 * (i != j)
-        big[:m, n:] = np.where(np.eye(m, dtype=bool), [[DELETE * c.size] for c in x.children] or np.zeros((0, 1)), 1e9) if m else 0
-        big[m:, :n] = np.where(np.eye(n, dtype=bool), [ADD * d.size for d in y.children] or np.zeros((1, 0)), 1e9) if n else 0
+        for a, i in enumerate(xs):
+            for b, j in enumerate(ys):
+                big[a, b] = solve(x.children[i], y.children[j])[0] + 1e-6 * (i != j)
+        if m:
+            big[:m, n:] = np.where(np.eye(m, dtype=bool), [[DELETE * x.children[i].size] for i in xs], 1e9)
+        if n:
+            big[m:, :n] = np.where(np.eye(n, dtype=bool), [ADD * y.children[j].size for j in ys], 1e9)
         pairs = assign(big)
-        return total + float(sum(big[i, j] for i, j in enumerate(pairs))), tuple((i if i < m else -1, j if j < n else -1) for i, j in enumerate(pairs) if i < m or j < n)
+        rest = [(xs[a] if a < m else -1, ys[b] if b < n else -1) for a, b in enumerate(pairs) if a < m or b < n]
+        return total + float(sum(big[a, b] for a, b in enumerate(pairs))), tuple(same + rest)
 
     script: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
 
