@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -9,7 +10,6 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +23,17 @@ LABELS = {
     "eng": "en", "english": "en", "zho": "zh", "chi": "zh", "cmn": "zh", "chinese": "zh", "jpn": "ja", "jp": "ja", "japanese": "ja", "deu": "de", "ger": "de", "german": "de",
     "fra": "fr", "fre": "fr", "french": "fr", "spa": "es", "spanish": "es", "por": "pt", "portuguese": "pt",
 }
-#: Parts of a text that are of no language: tags, calls and subscripts, names with underscores or digits, tickers.
-NEUTRAL = regex.compile(
-    r"<[^<>\n]{1,40}>"
-    r"|[A-Za-z_][\w.]*(?=[\[(])(?:(?P<b>\((?:[^()\n]|(?&b))*\))|\[[^\]\n]*\]|\.\w+)+"
-    r"|https?://\S+"
-    r"|[A-Za-z0-9_]*[0-9_][A-Za-z0-9_]*(?:\.(?:SH|SZ|BJ|XSHG|XSHE))?"
+#: Parts of a text that are of no language: tags, addresses, calls and subscripts with what they enclose.
+NEUTRAL = re.compile(
+    r"<[^<>\n]{1,40}>|https?://\S+"
+    r"|[A-Za-z_][A-Za-z0-9_.]*+(?=[\[(])(?:\((?:[^()\n]|\((?:[^()\n]|\((?:[^()\n]|\([^()\n]*\))*\))*\))*\)|\[[^\]\n]*\]|\.[A-Za-z_][A-Za-z0-9_]*)+"
 )
-#: A scored unit: letters of one kind of script, so that spaced words and unspaced runs part.
-UNIT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]+|[[\p{L}\p{M}]--[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]]+", regex.V1)
-SPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆]")
-BLANK = regex.compile(r"[\s​﻿]*\Z")
+#: Exchange suffixes of tickers, of no language either.
+EXCHANGES = frozenset(("SH", "SZ", "BJ", "XSHG", "XSHE"))
+UNSPACED = "\u3005\u3006\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003134f"
+#: A run of unspaced script, a word (with digits and underscores, which mark it as a name), or a letter of another script.
+UNIT = re.compile(f"[{UNSPACED}]+|[A-Za-z0-9_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff]+|[^\\W\\d_]")
+SPACED = re.compile(f"[{UNSPACED}]")
 #: Units a worker keeps scored before it starts afresh (memory bound; results don't depend on it).
 CACHE = 200_000
 
@@ -49,7 +49,7 @@ def label_language(label: str | None) -> str | None:
 def paragraphs(text: str | None) -> list[str]:
     """Paragraphs parted by blank lines (any line end), in order; none of a null or blank text."""
     out: list[list[str]] = [[]]
-    for line in regex.split(r"\r\n|\n|\r", text or ""):
+    for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         if line.strip():
             out[-1].append(line)
         elif out[-1]:
@@ -58,8 +58,10 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def units(text: str) -> list[str]:
-    """The words and unspaced runs of a text that belong to some language."""
-    return UNIT.findall(NEUTRAL.sub(" ", text).lower())
+    """The words and unspaced runs of a text that belong to some language, as written."""
+    if "(" in text or "[" in text or "<" in text or "://" in text:
+        text = NEUTRAL.sub(" ", text)
+    return [u for u in UNIT.findall(text) if u.isalpha() and u not in EXCHANGES]
 
 
 class Pieces:
@@ -165,7 +167,7 @@ def train(docs: list[tuple[str, str]], folder: str = TOKENIZERS) -> LanguageMode
     paras = [(units(p), lang) for t, lang in docs for p in paragraphs(t)]
     counts: dict[str, Counter] = {}
     for us, lang in paras:
-        counts.setdefault(lang, Counter()).update(us)
+        counts.setdefault(lang, Counter()).update(u.lower() for u in us)
     if not counts:
         raise ValueError("no labelled text to learn languages from")
     first = Scorer(pieces, fit(pieces, counts))
@@ -173,7 +175,7 @@ def train(docs: list[tuple[str, str]], folder: str = TOKENIZERS) -> LanguageMode
     for us, _ in paras:
         lang, sure = first.judge(us)
         if lang and sure > 0.99:
-            again[lang].update(us)
+            again[lang].update(u.lower() for u in us)
     return fit(pieces, {k: v or counts[k] for k, v in again.items()})
 
 
@@ -189,7 +191,7 @@ class Scorer:
         i = len(self.known)
         if i == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[i] = score_unit(self.pieces, self.model, unit)
+        self.scores[i] = score_unit(self.pieces, self.model, unit.lower())
         self.known[unit] = i
         return i
 
@@ -200,7 +202,7 @@ class Scorer:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        rows = [known[u] if u in known else self._row(u) for u in us]
+        rows = [self._row(u) if (i := known.get(u)) is None else i for u in us]
         total = self.scores[rows].sum(0)
         post = np.exp(total - total.max())
         best = int(post.argmax())
