@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import indicators, panel_ops as ops
+from ..functions import indicators
+from ..functions import panel_ops as ops
+from ..functions.library import LIBRARY
 from ..functions.panel_ops import Keys
 from ..functions.scans import SCANS
 
@@ -152,19 +154,36 @@ MACROS = {
 MACRO_DEFAULTS = {"clip_mad": (3.0, 0.0), "winsorize_quantile": (0.1, 0.1)}
 
 
+def substitute(node: Node, put: dict[str, Node]) -> Node:
+    """A formula with its parameters put in; operations on constants are worked out."""
+    if node.kind == "name" and node.value in put:
+        return put[node.value]
+    args = tuple(substitute(a, put) for a in node.args)
+    if node.kind == "op" and all(a.kind == "num" for a in args) and node.value in ("+", "-", "*", "/"):
+        x, y = (a.value for a in args)
+        v = {"+": x + y, "-": x - y, "*": x * y}[node.value] if node.value != "/" else x / y
+        return Node("num", int(v) if float(v).is_integer() else v)
+    return Node(node.kind, node.value, args, tuple((k, substitute(v, put)) for k, v in node.named))
+
+
 def expand(node: Node) -> Node:
-    """A cross-section macro call as its formula; other nodes as they are."""
+    """A call of a library indicator or cross-section macro as its formula; other nodes as they are."""
     name = ALIASES.get(str(node.value), str(node.value)) if node.kind == "call" else ""
     named = dict(node.named)
+    if name in LIBRARY:
+        params, text = LIBRARY[name]
+        put = {}
+        for i, (p, default) in enumerate(params):
+            given = node.args[i] if i < len(node.args) else named.get(p.lower())
+            if given is None and default is None:
+                raise ValueError(f"{name} needs {p}")
+            put[p] = Node("num", default) if given is None else given
+        return substitute(parse(text), put)
     if name not in MACROS or "window" in named or "expanding" in named or not named.get("cross_section", Node("num", True)).value:
         return node
     consts = [*node.args[1:], *(Node("num", v) for v in MACRO_DEFAULTS[name][len(node.args) - 1 :])]
     put = {"X": node.args[0], "A": consts[0], "B": consts[-1]}
-
-    def fill(n: Node) -> Node:
-        return put[n.value] if n.kind == "name" and n.value in put else Node(n.kind, n.value, tuple(map(fill, n.args)), n.named)
-
-    return fill(parse(MACROS[name]))
+    return substitute(parse(MACROS[name]), put)
 
 
 def parse(text: str) -> Node:

@@ -1,0 +1,109 @@
+"""Formulas as standard SQL: the same levels as the DataFrame compiler, as nested selects."""
+
+from __future__ import annotations
+
+from .formula import ALIASES, COMPARISONS, Node, expand, parse
+
+P = "(partition by ticker order by trade_date)"
+PAST = "(partition by ticker order by trade_date rows between unbounded preceding and current row)"
+DAY = "(partition by trade_date)"
+
+
+def last(n: int) -> str:
+    """The frame of a ticker's last n rows."""
+    return f"(partition by ticker order by trade_date rows between {int(n) - 1} preceding and current row)"
+
+
+def lag(x: str, n: int) -> str:
+    return f"lag({x}, {int(n)}) over {P}" if n >= 0 else f"lead({x}, {-int(n)}) over {P}"
+
+
+def full(agg: str, x: str, n: int) -> str:
+    return f"case when count({x}) over {last(n)} >= {int(n)} then {agg} over {last(n)} end"
+
+
+def weighted(x: str, ws: list[float]) -> str:
+    n = len(ws)
+    return " + ".join(f"{w!r} * " + (lag(x, n - 1 - i) if i < n - 1 else x) for i, w in enumerate(ws))
+
+
+def corr(y: str, x: str, n: int) -> str:
+    w = last(n)
+    return f"case when count({y} + {x}) over {w} >= {n} and var_pop({y}) over {w} * var_pop({x}) over {w} > 1e-18 then covar_pop({y}, {x}) over {w} / sqrt(var_pop({y}) over {w} * var_pop({x}) over {w}) end"
+
+
+ELEMENT = {
+    "abs": "abs({0})", "sqrt": "case when {0} >= 0 then sqrt({0}) end", "log": "case when {0} > 0 then ln({0}) end", "power": "pow({0}, {1})", "sign": "sign({0})", "neg": "-({0})",
+    "where": "case when {0} then {1} else {2} end", "fillna": "coalesce({0}, {1})", "copy": "{0}", "max": "greatest({0}, {1})", "min": "least({0}, {1})", "exp": "exp({0})",
+    "+": "({0} + {1})", "-": "({0} - {1})", "*": "({0} * {1})", "/": "({0} / nullif({1}, 0))", "!=": "coalesce({0} <> {1}, true)",
+    **{c: f"coalesce({{0}} {c.replace('==', '=')} {{1}}, false)" for c in ("<", ">", "<=", ">=", "==")},
+}
+#: Functions over windows: how many arguments are columns, and the SQL of names and constants.
+WINDOWED = {
+    "delay": (1, lambda x, n: lag(x, n)), "delta": (1, lambda x, n: f"{x} - {lag(x, n)}"), "pct_change": (1, lambda x, n=1: f"({x} - {lag(x, n)}) / nullif({lag(x, n)}, 0)"),
+    "roc": (1, lambda x, n: f"100 * ({x} / nullif({lag(x, n)}, 0) - 1)"), "ffill": (1, lambda x: f"last_value({x} ignore nulls) over {PAST}"), "cumulative": (1, lambda x: f"sum(coalesce({x}, 0)) over {PAST}"),
+    "expanding_max": (1, lambda x: f"max({x}) over {PAST}"), "expanding_min": (1, lambda x: f"min({x}) over {PAST}"),
+    "ts_sum": (1, lambda x, n: full(f"sum({x})", x, n)), "ts_mean": (1, lambda x, n: full(f"avg({x})", x, n)), "ts_min": (1, lambda x, n: full(f"min({x})", x, n)), "ts_max": (1, lambda x, n: full(f"max({x})", x, n)),
+    "ts_stddev": (1, lambda x, n: full(f"stddev_samp({x})", x, n)), "wma": (1, lambda x, n: weighted(x, [i / (n * (n + 1) / 2) for i in range(1, n + 1)])),
+    "ts_corr": (2, corr), "ts_cov": (2, lambda y, x, n: f"case when count({y} + {x}) over {last(n)} >= {n} then covar_pop({y}, {x}) over {last(n)} end"),
+    "cs_rank": (1, lambda x: f"case when {x} is not null then cast(dense_rank() over (partition by trade_date order by {x} desc nulls last) as double) end"),
+    "true_range": (3, lambda h, l, c: f"case when {h} is not null and {l} is not null then greatest({h} - {l}, abs({h} - {lag(c, 1)}), abs({l} - {lag(c, 1)})) end"),
+}
+
+
+class SqlCompiler:
+    """Levels of a formula as SQL text."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, int]] = {}
+        self.inputs: dict[int, dict[str, str]] = {}
+        self.windows: dict[int, dict[str, str]] = {}
+
+    def column(self, node: Node, level: int) -> str:
+        if node.kind == "name":
+            return str(node.value)
+        sql, _ = self.value(node)
+        for name, have in self.inputs.setdefault(level, {}).items():
+            if have == sql:
+                return name
+        name = f"i{level}_{len(self.inputs[level])}"
+        self.inputs[level][name] = sql
+        return name
+
+    def value(self, node: Node) -> tuple[str, int]:
+        text = str(node)
+        if text not in self.known:
+            self.known[text] = self._value(node)
+        return self.known[text]
+
+    def _value(self, node: Node) -> tuple[str, int]:
+        if (simple := expand(node)) is not node:
+            return self.value(simple)
+        if node.kind == "num":
+            return repr(float(node.value)), 0
+        if node.kind == "name":
+            return str(node.value), 0
+        name = ALIASES.get(str(node.value), str(node.value))
+        if name in ELEMENT or name in COMPARISONS:
+            parts = [self.value(a) for a in node.args]
+            return ELEMENT[name].format(*(p for p, _ in parts)), max(x for _, x in parts)
+        if name not in WINDOWED:
+            raise ValueError(f"{name} has no SQL here")
+        n, fn = WINDOWED[name]
+        level = max(self.value(a)[1] for a in node.args[:n])
+        sql = fn(*(self.column(a, level) for a in node.args[:n]), *(int(a.value) for a in node.args[n:]))
+        out = f"w{level}_{len(self.windows.setdefault(level, {}))}"
+        self.windows[level][out] = sql
+        return out, level + 1
+
+
+def formula_sql(formula: str, table: str) -> str:
+    """A select of ticker, trade_date and value from a table of a dense panel."""
+    c = SqlCompiler()
+    sql, top = c.value(parse(formula))
+    src = table
+    for level in range(top):
+        for cols in (c.inputs.get(level), c.windows.get(level)):
+            if cols:
+                src = f"(select *, {', '.join(f'{s} as {n}' for n, s in cols.items())} from {src})"
+    return f"select ticker, trade_date, {sql} as value from {src}"

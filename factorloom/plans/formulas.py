@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import panel_ops as ops
+from ..functions.library import LIBRARY
 from ..functions.panel_ops import Keys
 from ..operators.panel import daily_panel
 from ..session import read_table
 from .formula import evaluate
+from .formula_sql import formula_sql
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount", "pct_chg")
 _CLEAN = ", ".join(f"case when isnan({f}) or isinf({f}) then null else {f} end as {f}" for f in FIELDS)
@@ -209,5 +211,11 @@ def _oracle(sql: str) -> str:
     return f"with {PANEL_SQL}, answer as ({inner})\nselect ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(cast(value as double), 6) as value from answer"
 
 
+#: The panel column that stands for each parameter of a library indicator.
+_PUT = {"X": "close", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "amount"}
+for _n, (_params, _) in LIBRARY.items():
+    _call = f"{_n}({', '.join(_PUT[p] for p, default in _params if default is None)})"
+    FORMULAS[f"lib_{_n}"] = (_call, formula_sql(_call, "p"))
+
 QUERIES = {n: _query(n, f) for n, f in [*((n, f) for n, (f, _) in FORMULAS.items()), *UNSQL.items()]}
 ORACLES = {n: _oracle(s) for n, (_, s) in FORMULAS.items()}
