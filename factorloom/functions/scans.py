@@ -153,3 +153,112 @@ def stop_exit(pdf: pd.DataFrame, x: str, out: str, window: int = 0, stop: float
 
 
 SCANS = {f.__name__: f for f in (ewma, ema, smma, dema, tema, macd, rsi, trix, kama, laguerre, trend_label, stop_exit)}
+
+
+def adx(pdf: pd.DataFrame, high: str, low: str, close: str, out: str, window: int = 14) -> pd.DataFrame:
+    """Average directional index with Wilder smoothing; rows with a missing price carry the state."""
+    t = pdf[[high, low, close]].dropna()
+    up, down = t[high].diff(), -t[low].diff()
+    before = t[close].shift()
+    tr = pd.concat([t[high] - t[low], (t[high] - before).abs(), (t[low] - before).abs()], axis=1).max(axis=1).where(before.notna())
+    plus, minus = up.where((up > down) & (up > 0), 0.0).where(before.notna()), down.where((down > up) & (down > 0), 0.0).where(before.notna())
+    a = 1 / window
+    s, p, m = (_smooth(v.to_numpy(float), window, a) for v in (tr, plus, minus))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        dx = np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.where(np.isnan(s), np.nan, 0.0))
+    return pdf.assign(**{out: pd.Series(_smooth(dx, window, a), t.index).reindex(pdf.index)})
+
+
+def parabolic_sar(pdf: pd.DataFrame, high: str, low: str, out: str, window: int = 0, step: float = 0.02, most: float = 0.2) -> pd.DataFrame:
+    """Stop-and-reverse level: follows the trend's extreme ever faster, never into the last two rows' range."""
+    h, lo = pdf[high].to_numpy(float), pdf[low].to_numpy(float)
+    res = np.full(len(pdf), np.nan)
+    rising, sar, best, rate, past = True, None, None, step, []
+    for i in range(len(pdf)):
+        if np.isnan(h[i]) or np.isnan(lo[i]):
+            continue
+        if sar is None:
+            sar, best = lo[i], h[i]
+        else:
+            sar += rate * (best - sar)
+            sar = min([sar, *(x[1] for x in past[-2:])]) if rising else max([sar, *(x[0] for x in past[-2:])])
+            if (lo[i] < sar) if rising else (h[i] > sar):
+                rising, sar, best, rate = not rising, best, (lo[i] if rising else h[i]), step
+            elif (h[i] > best) if rising else (lo[i] < best):
+                best, rate = (h[i] if rising else lo[i]), min(rate + step, most)
+        past.append((h[i], lo[i]))
+        res[i] = sar
+    return pdf.assign(**{out: res})
+
+
+def heikin_open(pdf: pd.DataFrame, open_: str, high: str, low: str, close: str, out: str, window: int = 0) -> pd.DataFrame:
+    """Open of the averaged bar: the middle of the averaged bar before; the first is the middle of its own."""
+    res, before = np.full(len(pdf), np.nan), None
+    for i, (o, h, lo, c) in enumerate(pdf[[open_, high, low, close]].to_numpy(float)):
+        if np.isnan(o + h + lo + c):
+            continue
+        res[i] = (o + c) / 2 if before is None else (before[0] + before[1]) / 2
+        before = res[i], (o + h + lo + c) / 4
+    return pdf.assign(**{out: res})
+
+
+def supertrend(pdf: pd.DataFrame, high: str, low: str, close: str, out: str, window: int = 10, width: float = 3.0) -> pd.DataFrame:
+    """Trailing band of width * average true range that flips when the close crosses it."""
+    t = pdf[[high, low, close]].dropna()
+    before = t[close].shift()
+    tr = pd.concat([t[high] - t[low], (t[high] - before).abs(), (t[low] - before).abs()], axis=1).max(axis=1)
+    atr, mid, c = _smooth(tr.to_numpy(float), window, 1 / window), ((t[high] + t[low]) / 2).to_numpy(float), t[close].to_numpy(float)
+    res, upper, lower, rising = np.full(len(t), np.nan), np.inf, -np.inf, True
+    for i in range(len(t)):
+        if np.isnan(atr[i]):
+            continue
+        u, d = mid[i] + width * atr[i], mid[i] - width * atr[i]
+        upper = u if u < upper or i and c[i - 1] > upper else upper
+        lower = d if d > lower or i and c[i - 1] < lower else lower
+        rising = c[i] >= lower if rising else c[i] > upper
+        res[i] = lower if rising else upper
+    return pdf.assign(**{out: pd.Series(res, t.index).reindex(pdf.index)})
+
+
+def renko_level(pdf: pd.DataFrame, x: str, out: str, window: int = 0, brick: float = 1.0) -> pd.DataFrame:
+    """Level of the last finished brick of a fixed size."""
+    res, level = np.full(len(pdf), np.nan), None
+    for i, v in enumerate(pdf[x].to_numpy(float)):
+        if np.isnan(v):
+            continue
+        level = v if level is None else level + brick * np.trunc((v - level) / brick)
+        res[i] = level
+    return pdf.assign(**{out: res})
+
+
+def triple_barrier(pdf: pd.DataFrame, x: str, out: str, window: int = 10, up: float = 0.05, down: float = 0.05) -> pd.DataFrame:
+    """1 if the value first rises by `up` within the next rows, -1 if it first falls by `down`, else 0; NaN near the end."""
+    v = pdf[x].to_numpy(float)
+    res = np.full(len(v), np.nan)
+    for i in range(len(v) - window):
+        if np.isnan(v[i]):
+            continue
+        ahead = v[i + 1 : i + window + 1] / v[i] - 1
+        hits = np.flatnonzero((ahead >= up) | (ahead <= -down))
+        res[i] = 0 if not len(hits) else 1 if ahead[hits[0]] >= up else -1
+    return pdf.assign(**{out: res})
+
+
+def zero_lag_ema(pdf: pd.DataFrame, x: str, out: str, window: int = 12) -> pd.DataFrame:
+    """Exponential mean of the value plus its change over half the window."""
+    v = pdf[x] + (pdf[x] - pdf[x].shift((window - 1) // 2))
+    return pdf.assign(**{out: _smooth(v.to_numpy(float), window, 2 / (window + 1))})
+
+
+def tsi(pdf: pd.DataFrame, x: str, out: str, window: int = 25, fast: int = 13) -> pd.DataFrame:
+    """True strength index: doubly smoothed change over doubly smoothed absolute change."""
+    d = pdf[x].dropna().diff()
+    twice = lambda s: _smooth(_smooth(s.to_numpy(float), window, 2 / (window + 1)), fast, 2 / (fast + 1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = 100 * twice(d) / twice(d.abs())
+    return pdf.assign(**{out: pd.Series(r, d.index).reindex(pdf.index)})
+
+
+SCANS |= {f.__name__: f for f in (adx, parabolic_sar, heikin_open, supertrend, renko_level, triple_barrier, zero_lag_ema, tsi)}
+#: How many columns a scan reads, where it is more than one.
+SCAN_COLUMNS = {"adx": ("high", "low", "close"), "parabolic_sar": ("high", "low"), "heikin_open": ("open_", "high", "low", "close"), "supertrend": ("high", "low", "close")}

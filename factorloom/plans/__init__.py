@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def modules() -> list:
     """The query modules of the core."""
-    from . import analytics, formulas, tables, training
+    from . import analytics, formulas, performance, tables, training
 
-    return [training, formulas, analytics, tables]
+    return [training, formulas, analytics, tables, performance]

@@ -16,7 +16,7 @@ from ..functions import indicators
 from ..functions import panel_ops as ops
 from ..functions.library import LIBRARY
 from ..functions.panel_ops import Keys
-from ..functions.scans import SCANS
+from ..functions.scans import SCAN_COLUMNS, SCANS
 
 
 @dataclass(frozen=True)
@@ -215,7 +215,7 @@ class Compiler:
         self.known: dict[str, tuple[Column, int]] = {}
         self.inputs: dict[int, dict[str, Column]] = {}
         self.windows: dict[int, dict[str, Column]] = {}
-        self.scans: dict[int, list[tuple[str, str, str, list, dict]]] = {}
+        self.scans: dict[int, list[tuple[str, dict[str, str], str, list, dict]]] = {}
 
     def plain(self, node: Node) -> object:
         if node.kind in ("num", "str"):
@@ -258,10 +258,11 @@ class Compiler:
             fn = {"+": ELEMENT["add"], "-": ELEMENT["sub"], "*": ELEMENT["mul"], "/": ELEMENT["div"], "neg": ELEMENT["neg"]}.get(name) or ELEMENT[name]
             return fn(*cols), level
         if name in SCANS:
-            x = node.args[0]
-            level = self.value(x)[1]
+            reads = SCAN_COLUMNS.get(name, ("x",))
+            cols = node.args[: len(reads)]
+            level = max(self.value(x)[1] for x in cols)
             out = self.short.setdefault(str(node), f"_x{len(self.short)}")
-            self.scans.setdefault(level, []).append((name, self.column(x, level), out, [self.plain(a) for a in node.args[1:]], {k: self.plain(v) for k, v in node.named}))
+            self.scans.setdefault(level, []).append((name, {r: self.column(x, level) for r, x in zip(reads, cols, strict=True)}, out, [self.plain(a) for a in node.args[len(reads) :]], {k: self.plain(v) for k, v in node.named}))
             return F.col(f"`{out}`"), level + 1
         if name not in WINDOWED:
             raise ValueError(f"no function {name}")
@@ -297,7 +298,7 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keys: Keys = Keys(), la
         if level in c.windows:
             df = df.withColumns(c.windows[level])
         for name, x, out, args, named in c.scans.get(level, ()):
-            df = scan(df, keys, partial(SCANS[name], x=x, out=out, **dict(zip(("window", "half_life"), args, strict=False)), **named), [out])
+            df = scan(df, keys, partial(SCANS[name], **x, out=out, **dict(zip(("window", "half_life"), args, strict=False)), **named), [out])
     if last_only:
         df = df.join(panel.agg(F.max(keys.date).alias(keys.date)), keys.date, "left_semi")
     return df.select(keys.ticker, keys.date, *[col.alias(n) for n, (col, _) in results.items()])
