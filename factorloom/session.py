@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import weakref
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: weakref.WeakSet = weakref.WeakSet()
+
 
 def build_session(app: str = "factorloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for (AQE on, UTC, Arrow)."""
@@ -49,3 +54,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int) -> None:
     """Bound the rows of one Arrow batch where a row holds a whole series."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, so that they need not find it on a path of their own.
+
+    The driver's file server hands the archive out; it is code only, made once per context.
+    """
+    sc = spark.sparkContext
+    if sc in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="factorloom-code-"), "factorloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(package):
+            dirs[:] = sorted(x for x in dirs if x != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    _shipped.add(sc)
