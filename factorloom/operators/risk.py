@@ -103,3 +103,39 @@ def optimise(mean: np.ndarray, cov: np.ndarray, objective: str = "variance", ste
         elif (rate := rate / 2) < 1e-12:
             break
     return w
+
+
+def low_rank(x: np.ndarray, factors: int, threshold: float = 0.0, kind: str = "soft") -> np.ndarray:
+    """Covariance of `factors` principal components plus the residual covariance.
+
+    threshold 0 keeps only the residuals' variances (structured estimate); otherwise residual
+    correlations below it become 0 (hard) or all shrink towards 0 by it (soft).
+    """
+    x = x - x.mean(0)
+    t = len(x)
+    s = x.T @ x / t
+    values, vectors = np.linalg.eigh(s)
+    top = vectors[:, -factors:] if factors else np.zeros((x.shape[1], 0))
+    common = top * values[-factors:] @ top.T if factors else np.zeros_like(s)
+    rest = s - common
+    if not threshold:
+        return common + np.diag(np.diag(rest))
+    d = np.sqrt(np.maximum(np.diag(rest), 1e-18))
+    corr = rest / np.outer(d, d)
+    off = np.where(np.abs(corr) > threshold, corr, 0.0) if kind == "hard" else np.sign(corr) * np.maximum(np.abs(corr) - threshold, 0)
+    np.fill_diagonal(off, 1.0)
+    return common + off * np.outer(d, d)
+
+
+def risk_attribution(weights: np.ndarray, exposures: np.ndarray, factor_cov: np.ndarray, specific: np.ndarray) -> dict[str, object]:
+    """Variance of a portfolio under a factor model: total, factor and specific parts, and each factor's share."""
+    e = exposures.T @ weights
+    factor, own = float(e @ factor_cov @ e), float(weights**2 @ specific)
+    total = factor + own
+    return {"total": total, "factor": factor, "specific": own, "by_factor": (e * (factor_cov @ e)) / total if total else np.zeros(len(e))}
+
+
+def stress(weights: np.ndarray, exposures: np.ndarray, shocks: dict[str, np.ndarray]) -> dict[str, float]:
+    """Return of a portfolio under each scenario of factor shocks."""
+    e = exposures.T @ weights
+    return {k: float(e @ v) for k, v in shocks.items()}
