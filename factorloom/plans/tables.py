@@ -94,12 +94,13 @@ def t_bars_from_ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars by Structured Streaming over the event files, all windows (complete mode kept in Parquet by append after a flush)."""
+    """Daily bars by Structured Streaming over the event files, all windows: partial bars of each trigger, folded at the end of the input."""
     schema = read_table(spark, d, "events").schema
     ticks = bars.stream_ticks(spark, d, "events.parquet", schema)
     out = f"{checkpoint_dir(spark)}/stream-bars-{uuid.uuid4().hex}"
-    bars.run_to_table(bars.streaming_bars(ticks, "user_id", "ts", "event_id", "value"), out)
-    return spark.read.parquet(f"{out}/table").select("user_id", _day("bar_time"), "open", "high", "low", "close", "volume", F.round("amount", 4).alias("amount"))
+    bars.run_to_parts(ticks, out, lambda t: bars.partial_bars(t, "user_id", "ts", "event_id", "value"))
+    folded = bars.fold_bars(spark.read.parquet(f"{out}/parts"), "user_id")
+    return folded.select("user_id", _day("bar_time"), "open", "high", "low", "close", "volume", F.round("amount", 4).alias("amount"))
 
 
 def t_next_session(spark: SparkSession, d: str) -> DataFrame:
