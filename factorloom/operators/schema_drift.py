@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocked import carry
 
 ADD = DELETE = 1.0
@@ -79,13 +80,8 @@ def relabel(a: Node, b: Node) -> float:
     return RENAME + kind + 2.4 * (1 - alike)
 
 
-def edit_script(a: Node, b: Node) -> tuple[float, list[tuple[str, tuple[str, ...], tuple[str, ...]]]]:
-    """Minimum cost of turning schema tree a into b, and the script: (kind, path in a, path in b).
-
-    Unordered trees; a subtree is matched with one subtree (constrained edit distance),
-    children by the cheapest assignment. Kinds: added, removed, renamed, retyped, moved
-    (another place among the siblings that stayed), same.
-    """
+def _solver() -> Callable[[Node, Node], tuple[float, tuple[tuple[int, int], ...]]]:
+    """Cost of turning one tree into another, and the matched positions of their children (-1: none), solved once per pair."""
 
     @lru_cache(maxsize=None)
     def solve(x: Node, y: Node) -> tuple[float, tuple[tuple[int, int], ...]]:
@@ -110,6 +106,18 @@ def edit_script(a: Node, b: Node) -> tuple[float, list[tuple[str, tuple[str, ...
         rest = [(xs[a] if a < m else -1, ys[b] if b < n else -1) for a, b in enumerate(pairs) if a < m or b < n]
         return total + float(sum(big[a, b] for a, b in enumerate(pairs))), tuple(same + rest)
 
+    return solve
+
+
+def edit_script(a: Node, b: Node) -> tuple[float, list[tuple[str, tuple[str, ...], tuple[str, ...]]]]:
+    """Minimum cost of turning schema tree a into b, and the script: (kind, path in a, path in b).
+
+    Unordered trees; a subtree is matched with one subtree (constrained edit distance),
+    children by the cheapest assignment. Kinds: added, removed, renamed, retyped, moved
+    (another place among the siblings that stayed), same.
+    """
+
+    solve = _solver()
     script: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []
 
     def walk(x: Node, y: Node, px: tuple[str, ...], py: tuple[str, ...]) -> None:
@@ -170,3 +178,53 @@ def drift_report(compared: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(names, pa.string())], names=["file_id", "change_kind", "column_name"])
 
     return need.mapInArrow(report, "file_id bigint, change_kind string, column_name string")
+
+
+def column_pairs(a: Node, b: Node) -> list[tuple[int, int]]:
+    """Positions of the fields of a and b that the edit script from a to b takes for the same."""
+    return sorted((i, j) for i, j in _solver()(a, b)[1] if i >= 0 and j >= 0)
+
+
+def _follow(edges: DataFrame) -> DataFrame:
+    """file_id, pos, meaning: what the edges (file_id, pos, to_id, to_pos, meaning of the target or null) lead to.
+
+    Each round doubles the length of the way every open edge has gone, so a run of n files of
+    unlisted headers takes log2(n) rounds and no symbol gathers in one task.
+    """
+    edges = cut_lineage(edges)
+    while edges.where("meaning is null and to_id is not null").limit(1).count():
+        t = edges.select(F.col("file_id").alias("to_id"), F.col("pos").alias("to_pos"), F.col("to_id").alias("_id"), F.col("to_pos").alias("_pos"), F.col("meaning").alias("_meaning"))
+        going = edges.where("meaning is null and to_id is not null").join(t, ["to_id", "to_pos"], "left")
+        going = going.select("file_id", "pos", F.col("_id").alias("to_id"), F.col("_pos").alias("to_pos"), F.col("_meaning").alias("meaning"))
+        edges = cut_lineage(edges.where("meaning is not null or to_id is null").unionByName(going))
+    return edges.where("meaning is not null").select("file_id", "pos", "meaning")
+
+
+def learned_columns(schemas: DataFrame, keys: Sequence[str], block: str, order: Sequence[str]) -> DataFrame:
+    """file_id, learned (array of pos, meaning): what the columns of unlisted headers hold, by the edit scripts along the files of a key.
+
+    A column has the meaning of the nearest file before in which the scripts, composed, pair it
+    with a listed header, else of the nearest file after. Files where nothing is learned give no row.
+    """
+    near = carry(schemas, keys, block, order, F.struct("file_id", "columns"), "before").where(F.col("before").isNotNull())
+    unlisted = lambda c: F.exists(F.col(c), lambda x: x["meaning"] == "")
+    near = near.where(unlisted("columns") | unlisted("before.columns")).select("file_id", "columns", "before")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file_id", "pos", "meaning", "to_id", "to_pos", "to_meaning"]
+        for b in batches:
+            out = []
+            for i, new, old in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a, z = (Node("", children=tuple(Node(c["header"], c["meaning"], c["type"], c["middle"]) for c in s)) for s in (old["columns"], new))
+                for j, k in column_pairs(a, z):
+                    x, y = a.children[j].meaning or None, z.children[k].meaning or None
+                    if x is None or y is None:
+                        out.append((i, k, y, old["file_id"], j, x))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string()) * 2, strict=True)], names=names)
+
+    links = cut_lineage(near.mapInArrow(link, "file_id bigint, pos int, meaning string, to_id bigint, to_pos int, to_meaning string"))
+    back = _follow(links.where("meaning is null").select("file_id", "pos", "to_id", "to_pos", F.col("to_meaning").alias("meaning")))
+    ahead = _follow(links.where("to_meaning is null").select(F.col("to_id").alias("file_id"), F.col("to_pos").alias("pos"), F.col("file_id").alias("to_id"), F.col("pos").alias("to_pos"), "meaning"))
+    both = back.withColumn("_side", F.lit(0)).unionByName(ahead.withColumn("_side", F.lit(1))).groupBy("file_id", "pos").agg(F.min_by("meaning", "_side").alias("meaning"))
+    return both.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "meaning"))).alias("learned"))

@@ -123,13 +123,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return top.select("factor_name", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_day"), "rank_no", "ticker")
 
 
+def _schemas(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:
+    """The schema of each of the files, in blocks of a month; parsed once, as it is read several times."""
+    at = files.select("file_id", "exchange", "symbol", F.col("year").try_cast("int").alias("_y"), F.coalesce(F.col("month").try_cast("int"), F.lit(0)).alias("_m")).dropDuplicates(["file_id"])
+    schemas = minute_csv.file_schemas(read_table(spark, d, "csv_contents")).join(at, "file_id")
+    # files without a year come last
+    return cut_lineage(schemas.withColumn("_block", F.coalesce(F.col("_y"), F.lit(9999)) * 16 + F.col("_m")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Columns added, removed, renamed or retyped from file to file of a symbol."""
-    files = read_table(spark, d, "csv_files").where("year is not null and exchange is not null and symbol is not null").select("file_id", "exchange", "symbol", F.col("year").try_cast("int").alias("_y"), F.coalesce(F.col("month").try_cast("int"), F.lit(0)).alias("_m")).dropDuplicates(["file_id"])
-    schemas = minute_csv.file_schemas(read_table(spark, d, "csv_contents")).join(files, "file_id").withColumn("_block", F.col("_y") * 16 + F.col("_m"))
-    schemas = cut_lineage(schemas)  # read three times below; parsed once
+    schemas = _schemas(spark, d, read_table(spark, d, "csv_files").where("year is not null and exchange is not null and symbol is not null"))
     before = schema_drift.previous_schema(schemas, ["exchange", "symbol"], "_block", ["_block", "file_id"])
     return schema_drift.drift_report(before).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_outputs, p6_found, p7_found)}
+def p7_table(spark: SparkSession, d: str) -> DataFrame:
+    """The bar rows of every file of a symbol in one table of fixed columns, whatever the file's headers."""
+    files = read_table(spark, d, "csv_files").where("exchange is not null and symbol is not null")
+    learned = schema_drift.learned_columns(_schemas(spark, d, files), ["exchange", "symbol"], "_block", ["_block", "file_id"])
+    placed = files.select("file_id", "exchange", "symbol").dropDuplicates(["file_id"]).join(learned, "file_id", "left")
+    rows = minute_csv.project(read_table(spark, d, "csv_contents").join(placed, "file_id"))
+    at = F.date_format(F.timestamp_seconds(F.col("minute") * 60), "yyyy-MM-dd HH:mm")
+    return rows.select("file_id", F.concat_ws(".", "symbol", "exchange").alias("ticker"), at.alias("bar_minute"), *minute_csv.FIELDS, "others")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_outputs, p6_found, p7_found, p7_table)}

@@ -93,13 +93,21 @@ def number(v: str, field: str) -> float | None:
     return n / 100 if field in PRICES and "." not in v else n
 
 
-def read_bars(text: str | None) -> list[tuple]:
-    """(minute, missing cells, *FIELDS) of each bar, in order of time: a sorted run."""
-    header, rows = cells(text)
+def place(header: list[str], learned: dict[int, str] | None = None) -> dict[str, int]:
+    """The position of each known column: that of the first header that names it, else of the first column learned to hold it."""
     at: dict[str, int] = {}
     for i, h in enumerate(header):
         if m := meaning(h):
             at.setdefault(m, i)
+    for i, m in sorted((learned or {}).items()):
+        at.setdefault(m, i)
+    return at
+
+
+def read_bars(text: str | None) -> list[tuple]:
+    """(minute, missing cells, *FIELDS) of each bar, in order of time: a sorted run."""
+    header, rows = cells(text)
+    at = place(header)
     if "datetime" not in at:
         return []
     t, cols = at["datetime"], [(f, at.get(f)) for f in FIELDS]
@@ -172,3 +180,36 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols, pa.list_(kind))], names=["file_id", "columns"])
 
     return contents.select(file_id, text).mapInArrow(schemas, "file_id bigint, columns array<struct<header:string,meaning:string,type:string,middle:double>>")
+
+
+def project(texts: DataFrame, keys: tuple[str, ...] = ("file_id", "exchange", "symbol")) -> DataFrame:
+    """Every bar row of every file on the fixed columns: keys, minute, FIELDS, others.
+
+    `texts` has the keys, raw_text and learned (array of pos, meaning, or null), the file's
+    projection beyond its listed headers. `others` are the cells of columns that have no
+    place, by header. Rows without a time are no bars.
+    """
+    kinds = [(f.name, f.dataType.simpleString()) for f in texts.schema.fields if f.name in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, minutes, values, others = [], [], [], []
+            for k, (text, learned) in enumerate(zip(b.column("raw_text").to_pylist(), b.column("learned").to_pylist(), strict=True)):
+                header, rows = cells(text)
+                at = place(header, {x["pos"]: x["meaning"] for x in learned or ()})
+                if "datetime" not in at:
+                    continue
+                t, cols = at["datetime"], [(f, at.get(f)) for f in FIELDS]
+                rest = [(i, h) for i, h in enumerate(header) if i not in at.values()]
+                for r in rows:
+                    if t < len(r) and (minute := bar_minute(r[t])) is not None:
+                        row.append(k), minutes.append(minute)
+                        values.append([number(r[i], f) if i is not None and i < len(r) else None for f, i in cols])
+                        others.append(list({h: r[i] for i, h in rest if i < len(r) and r[i] not in MISSING}.items()) or None)
+            own = pa.array(row, pa.int64())
+            fields = list(zip(*values, strict=True)) if values else [()] * len(FIELDS)
+            made = [b.column(k).take(own) for k, _ in kinds] + [pa.array(minutes, pa.int64())] + [pa.array(c, pa.float64()) for c in fields] + [pa.array(others, pa.map_(pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(made, names=[*(k for k, _ in kinds), "minute", *FIELDS, "others"])
+
+    ddl = ", ".join([*(f"{k} {t}" for k, t in kinds), "minute bigint", *(f"{f} double" for f in FIELDS), "others map<string,string>"])
+    return texts.select(*(k for k, _ in kinds), "raw_text", "learned").mapInArrow(run, ddl)

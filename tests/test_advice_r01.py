@@ -6,7 +6,11 @@ import pathlib
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from factorloom.operators import schema_drift
+from factorloom.sources import minute_csv
 from factorloom.streaming import bars
 
 from util import bag, frame_bag
@@ -36,3 +40,35 @@ def test_partial_bars_take_late_ticks_and_resume(spark, tmp_path):
     got = bars.fold_bars(spark.read.parquet(str(tmp_path / "out/parts")), "k").select("bar_time", "open", "high", "low", "close", "volume", "amount").collect()
     days = [range(24 * d, min(24 * d + 24, 200)) for d in range(9)]
     assert bag(got) == bag([(t0 + dt.timedelta(days=i), float(r[0]), float(r[-1]), float(r[0]), float(r[-1]), len(r), float(sum(r))) for i, r in enumerate(days)])
+
+
+DRIFT = [
+    (1, "s", 1, "datetime,open,close,zz_quux\n2023-01-03 10:00,5.18,5.19,3\n"),
+    (2, "s", 2, "datetime,open_it,closing,zz_quux\n2023-01-04 10:00,5.28,5.29,4\n"),  # renamed from listed headers
+    (3, "s", 3, "closing,open_it,datetime\n5.39,5.38,2023-01-05 10:00\n"),  # paired with the unlisted ones before
+    (4, "r", 1, "datetime,vol_um,low\n2023-01-03 10:00,7,5.01\n"),  # listed in a later file only
+    (5, "r", 2, "datetime,vol_um,low_\n2023-01-04 10:00,8,5.02\n"),
+    (6, "r", 3, "datetime,volume,low_\n2023-01-05 10:00,9,5.03\n"),
+    (7, "q", 1, ""),
+]
+
+
+def test_projections_follow_the_edit_scripts(spark):
+    df = spark.createDataFrame(DRIFT, "file_id long, symbol string, blk int, raw_text string").withColumn("exchange", F.lit("SH"))
+    schemas = minute_csv.file_schemas(df).join(df.drop("raw_text"), "file_id")
+    learned = schema_drift.learned_columns(schemas, ["symbol"], "blk", ["blk", "file_id"])
+    got = {r["file_id"]: r for r in minute_csv.project(df.join(learned, "file_id", "left")).collect()}
+    assert {i: (r["open"], r["close"], r["volume"], r["low"], r["others"]) for i, r in got.items()} == {
+        1: (5.18, 5.19, None, None, {"zz_quux": "3"}), 2: (5.28, 5.29, None, None, {"zz_quux": "4"}), 3: (5.38, 5.39, None, None, None),
+        4: (None, None, 7, 5.01, None), 5: (None, None, 8, 5.02, None), 6: (None, None, 9, 5.03, None),
+    }
+    assert schema_drift.learned_columns(schemas.limit(0), ["symbol"], "blk", ["blk", "file_id"]).count() == 0
+
+
+@needs_tables
+def test_p7_table_has_every_bar_row(spark):
+    files = {r["file_id"]: r for r in spark.read.parquet(f"{DATA}/csv_files.parquet").collect() if r["exchange"] and r["symbol"]}
+    texts = {r["file_id"]: r["raw_text"] for r in spark.read.parquet(f"{DATA}/csv_contents.parquet").collect()}
+    want = [(i, f"{files[i]['symbol']}.{files[i]['exchange']}", *b[2:]) for i, t in texts.items() if i in files for b in minute_csv.read_bars(t)]
+    got = entry.queries()["p7_table"](spark, DATA).select("file_id", "ticker", *minute_csv.FIELDS).collect()
+    assert want and bag(got) == bag(want)
