@@ -155,11 +155,18 @@ def t_lifecycle_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Records per category and status, wide."""
+    """Records per category of the statuses development, testing and active, wide; t_status_pivot_all has every record."""
     t = read_table(spark, d, "factor_lifecycle").withColumn("category", F.coalesce("category", F.lit("none")))
     return t.groupBy("category").pivot("status", ["development", "testing", "active"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def t_status_pivot_all(spark: SparkSession, d: str) -> DataFrame:
+    """Records per category and status, wide, every record in one column: `other` are those of null or any further status."""
+    known = ["development", "testing", "active", "deprecated"]
+    t = read_table(spark, d, "factor_lifecycle").select(F.coalesce("category", F.lit("none")).alias("category"), F.when(F.col("status").isin(known), F.col("status")).otherwise("other").alias("status"))
+    return t.groupBy("category").pivot("status", [*known, "other"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, pipeline.Grid, pipeline.Factor, pipeline.Classifier]:
     g = pipeline.Grid()
     return panel(spark, d), g, g.factor("close"), g.classifier("industry")
@@ -283,7 +290,7 @@ def t_factor_ic_store(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     t_scan_filter, t_equi_join, t_semi_join, t_anti_join, t_asof_backward, t_asof_forward, t_resample_days, t_resample_rows, t_resample_month, t_resample_week, t_bars_from_ticks, stream_bars, t_next_session, t_previous_sessions, t_business_days,
-    t_runs, t_screen, t_industry_statistics, t_upsert, t_lifecycle_latest, t_status_pivot, pl_demean_group, pl_zscore, pl_ranks, pl_quartiles, pl_top_bottom, pl_percentile_between, pl_latest_sma_peers, pl_classifier_tests,
+    t_runs, t_screen, t_industry_statistics, t_upsert, t_lifecycle_latest, t_status_pivot, t_status_pivot_all, pl_demean_group, pl_zscore, pl_ranks, pl_quartiles, pl_top_bottom, pl_percentile_between, pl_latest_sma_peers, pl_classifier_tests,
     rk_covariance, rk_single_index, rk_weights, bt_top_k, bt_holdings, t_sliding_window_counts, t_json_extract, t_factor_ic_store,
 )
 QUERIES = {f.__name__: f for f in _ALL}

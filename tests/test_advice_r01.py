@@ -72,3 +72,12 @@ def test_p7_table_has_every_bar_row(spark):
     want = [(i, f"{files[i]['symbol']}.{files[i]['exchange']}", *b[2:]) for i, t in texts.items() if i in files for b in minute_csv.read_bars(t)]
     got = entry.queries()["p7_table"](spark, DATA).select("file_id", "ticker", *minute_csv.FIELDS).collect()
     assert want and bag(got) == bag(want)
+
+
+def test_status_pivot_counts_every_record(spark, tmp_path):
+    states = ["development", "testing", "active", "deprecated", "retired", None]
+    rows = [(c, s) for i, s in enumerate(states) for c in ("a", None) for _ in range(i + 1)]
+    spark.createDataFrame(rows, "category string, status string").write.parquet(str(tmp_path / "factor_lifecycle.parquet"))
+    got = entry.queries()["t_status_pivot_all"](spark, str(tmp_path)).select("category", "development", "testing", "active", "deprecated", "other").collect()
+    assert bag(got) == bag([(c, 1, 2, 3, 4, 11) for c in ("a", "none")])
+    assert sum(sum(r[1:]) for r in got) == len(rows)
