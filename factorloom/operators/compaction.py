@@ -10,22 +10,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from ..session import cut_lineage, small_batches
 from ..sources.minute_csv import FIELDS, sorted_runs
 
 MERGED_DDL = f"minute bigint, {', '.join(f'{f} double' for f in FIELDS)}, file_ids array<bigint>"
 
 
-def merge_runs(runs: DataFrame, keys: tuple[str, ...] = ("exchange", "symbol")) -> DataFrame:
+def merge_runs(runs: DataFrame, keys: tuple[str, ...] = ("exchange", "symbol"), most: int = 1000) -> DataFrame:
     """Every distinct bar once, in key order per range, with the ids of all files that hold it.
 
     `runs` has the keys, file_id, key_range and bars (a run sorted by minute). The runs of
     one key and range meet in one row and a heap merges them (k-way); equal minutes become
     one bar: that of the fewest missing cells, then of the lowest file_id. A range is a
-    bounded stretch of time, so a hot symbol is split over its ranges. Columns: keys,
-    minute, the bar fields, file_ids (ascending, distinct).
+    bounded stretch of time, so a hot symbol is split over its ranges; a range of more than
+    `most` runs is folded minute by minute in an aggregate instead, so that its runs never
+    meet in one task. Columns: keys, minute, the bar fields, file_ids (ascending, distinct).
     """
     small_batches(runs.sparkSession, 500)
+    runs = cut_lineage(runs)  # counted, then merged
+    # at most one row per `most` runs
+    hot = F.broadcast(runs.groupBy(*keys, "key_range").count().where(F.col("count") > most).select(*keys, "key_range"))
+    few, many = (runs.join(hot, [*keys, "key_range"], how) for how in ("left_anti", "left_semi"))
+    return _merge_heads(few, keys).unionByName(_fold_minutes(many, keys))
+
+
+def _fold_minutes(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """merge_runs by a partial aggregate per minute."""
+    bars = runs.select(*keys, "file_id", F.posexplode("bars").alias("_i", "_b")).groupBy(*keys, F.col("_b.minute").alias("minute"))
+    # _i: of equal minutes of one file the run's first, as in the heap
+    best = bars.agg(F.min(F.struct("_b.missing", "file_id", "_i", *[F.col(f"_b.{f}").alias(f) for f in FIELDS])).alias("_best"), F.array_sort(F.collect_set("file_id")).alias("file_ids"))
+    return best.select(*keys, "minute", *[F.col(f"_best.{f}").alias(f) for f in FIELDS], "file_ids")
+
+
+def _merge_heads(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """merge_runs by a heap over the runs of a range."""
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields if f.name in keys}
     met = runs.groupBy(*keys, "key_range").agg(F.collect_list(F.struct("file_id", "bars")).alias("runs"))
 

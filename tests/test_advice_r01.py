@@ -2,6 +2,7 @@
 
 import datetime as dt
 import pathlib
+import random
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from factorloom.operators import schema_drift
+from factorloom.operators import compaction, schema_drift
 from factorloom.sources import minute_csv
 from factorloom.streaming import bars
 
@@ -81,3 +82,16 @@ def test_status_pivot_counts_every_record(spark, tmp_path):
     got = entry.queries()["t_status_pivot_all"](spark, str(tmp_path)).select("category", "development", "testing", "active", "deprecated", "other").collect()
     assert bag(got) == bag([(c, 1, 2, 3, 4, 11) for c in ("a", "none")])
     assert sum(sum(r[1:]) for r in got) == len(rows)
+
+
+def test_hot_ranges_are_folded_not_gathered(spark):
+    rng = random.Random(2)
+    at = dt.datetime(2023, 7, 3)
+    line = lambda f, k: f"{at + dt.timedelta(minutes=k):%Y-%m-%d %H:%M},{5 + f % 3}.5,{rng.choice(['6.5', 'NA', '--'])}"
+    texts = [(f, "datetime,open,close\n" + "\n".join(line(f, k) for k in rng.sample(range(40), 12))) for f in range(1, 31)]
+    texts += [(40 + f, "datetime,open,close\n2023-09-01 10:00,1.5,2.5\n") for f in range(3)]
+    files = spark.createDataFrame([(f, "SH", "1") for f, _ in texts], "file_id long, exchange string, symbol string")
+    runs = minute_csv.sorted_runs(spark.createDataFrame(texts, "file_id long, raw_text string")).join(files, "file_id")
+    folded, merged = (bag(compaction.merge_runs(runs, most=n).select("minute", *minute_csv.FIELDS, "file_ids").collect()) for n in (5, 1000))
+    assert folded == merged and max(len(r[-1]) for r in folded) > 5 and min(len(r[-1]) for r in folded) >= 1
+    assert compaction.merge_runs(runs.limit(0), most=5).count() == 0
