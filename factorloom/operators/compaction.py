@@ -81,6 +81,7 @@ def consolidate(files: DataFrame, contents: DataFrame, range_days: int = 31) ->
 
     `files` locates the texts (file_id, exchange, symbol); `contents` holds them. Files
     without text, texts without file row, and files of null exchange or symbol give no bars.
+    A column `learned` of contents is passed to sorted_runs.
     """
     where = files.where(F.col("exchange").isNotNull() & F.col("symbol").isNotNull()).select("file_id", "exchange", "symbol").dropDuplicates(["file_id"])
     return merge_runs(sorted_runs(contents, range_days).join(where, "file_id"))

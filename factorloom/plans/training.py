@@ -107,7 +107,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_bars(spark: SparkSession, d: str) -> DataFrame:
     """Every bar exactly once, as it goes into the consolidated files."""
     at = F.date_format(F.timestamp_seconds(F.col("minute") * 60), "yyyy-MM-dd HH:mm")
-    return _bars(spark, d).select("exchange", "symbol", at.alias("bar_minute"), *minute_csv.FIELDS, F.size("file_ids").alias("n_files"))
+    files = read_table(spark, d, "csv_files").where("exchange is not null and symbol is not null")
+    contents = read_table(spark, d, "csv_contents").join(_learned(spark, d, files), "file_id", "left")
+    return compaction.consolidate(files, contents).select("exchange", "symbol", at.alias("bar_minute"), *minute_csv.FIELDS, F.size("file_ids").alias("n_files"))
+
+
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Files that hold rows but give no bars."""
+    return minute_csv.unread_files(read_table(spark, d, "csv_contents"))
 
 
 def p5_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +138,10 @@ def _schemas(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:
     return cut_lineage(schemas.withColumn("_block", F.coalesce(F.col("_y"), F.lit(9999)) * 16 + F.col("_m")))
 
 
+def _learned(spark: SparkSession, d: str, files: DataFrame) -> DataFrame:
+    return schema_drift.learned_columns(_schemas(spark, d, files), ["exchange", "symbol"], "_block", ["_block", "file_id"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Columns added, removed, renamed or retyped from file to file of a symbol."""
     schemas = _schemas(spark, d, read_table(spark, d, "csv_files").where("year is not null and exchange is not null and symbol is not null"))
@@ -141,11 +152,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_table(spark: SparkSession, d: str) -> DataFrame:
     """The bar rows of every file of a symbol in one table of fixed columns, whatever the file's headers."""
     files = read_table(spark, d, "csv_files").where("exchange is not null and symbol is not null")
-    learned = schema_drift.learned_columns(_schemas(spark, d, files), ["exchange", "symbol"], "_block", ["_block", "file_id"])
-    placed = files.select("file_id", "exchange", "symbol").dropDuplicates(["file_id"]).join(learned, "file_id", "left")
+    placed = files.select("file_id", "exchange", "symbol").dropDuplicates(["file_id"]).join(_learned(spark, d, files), "file_id", "left")
     rows = minute_csv.project(read_table(spark, d, "csv_contents").join(placed, "file_id"))
     at = F.date_format(F.timestamp_seconds(F.col("minute") * 60), "yyyy-MM-dd HH:mm")
     return rows.select("file_id", F.concat_ws(".", "symbol", "exchange").alias("ticker"), at.alias("bar_minute"), *minute_csv.FIELDS, "others")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_outputs, p6_found, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_unread, p5_outputs, p6_found, p7_found, p7_table)}

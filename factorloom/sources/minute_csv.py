@@ -93,21 +93,46 @@ def number(v: str, field: str) -> float | None:
     return n / 100 if field in PRICES and "." not in v else n
 
 
-def place(header: list[str], learned: dict[int, str] | None = None) -> dict[str, int]:
+#: Epoch seconds taken for the time of a bar where no header says so: whole minutes of 1990 to 2100.
+EPOCHS = range(631_152_000, 4_102_444_800, 60)
+
+
+def time_column(names: list[str | None], rows: list[list[str]]) -> int | None:
+    """The first column of unlisted header whose cells are all times of day, else all epoch seconds; None if there is none."""
+    epoch = None
+    for i, m in enumerate(names):
+        seen = [r[i] for r in rows if i < len(r) and r[i] not in MISSING] if m is None else []
+        if seen and all(_TIME.match(v) and bar_minute(v) is not None for v in seen):
+            return i
+        if seen and epoch is None and all(_INT.match(v) and int(v) in EPOCHS for v in seen):
+            epoch = i
+    return epoch
+
+
+def meanings(header: list[str], rows: list[list[str]]) -> list[str | None]:
+    """The column each header names, the time by its cells where no header is known as it."""
+    names = [meaning(h) for h in header]
+    if "datetime" not in names and (t := time_column(names, rows)) is not None:
+        names[t] = "datetime"
+    return names
+
+
+def place(header: list[str], rows: list[list[str]], learned: dict[int, str] | None = None) -> dict[str, int]:
     """The position of each known column: that of the first header that names it, else of the first column learned to hold it."""
     at: dict[str, int] = {}
-    for i, h in enumerate(header):
-        if m := meaning(h):
+    for i, m in enumerate(meanings(header, rows)):
+        if m:
             at.setdefault(m, i)
     for i, m in sorted((learned or {}).items()):
-        at.setdefault(m, i)
+        if i not in at.values():
+            at.setdefault(m, i)
     return at
 
 
-def read_bars(text: str | None) -> list[tuple]:
-    """(minute, missing cells, *FIELDS) of each bar, in order of time: a sorted run."""
+def read_bars(text: str | None, learned: dict[int, str] | None = None) -> list[tuple]:
+    """(minute, missing cells, *FIELDS) of each bar, in order of time: a sorted run. learned: what columns of unlisted header hold."""
     header, rows = cells(text)
-    at = place(header)
+    at = place(header, rows, learned)
     if "datetime" not in at:
         return []
     t, cols = at["datetime"], [(f, at.get(f)) for f in FIELDS]
@@ -128,17 +153,20 @@ def sorted_runs(contents: DataFrame, range_days: int = 31, file_id: str = "file_
     """One row per file and key range it touches: (file_id, key_range, bars sorted by time).
 
     A key range is `range_days` days. Null, empty and header-only texts, and texts without
-    a time column, give no row; repeated times within a file stay in the run.
+    a time column, give no row; repeated times within a file stay in the run. A column
+    `learned` (array of pos, meaning, or null) says what columns of unlisted header hold.
     """
+    projections = ["learned"] if "learned" in contents.columns else []
     out = pa.schema([("file_id", pa.int64()), ("key_range", pa.int32()), ("bars", pa.list_(BAR))])
     step = range_days * 1440
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ranges, sizes, flat = [], [], [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            extra = b.column(2).to_pylist() if projections else [None] * b.num_rows
+            for i, x, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), extra, strict=True):
                 last = None
-                for bar in read_bars(x):
+                for bar in read_bars(x, {y["pos"]: y["meaning"] for y in more or ()}):
                     if (k := bar[0] // step) != last:
                         ids.append(i), ranges.append(k), sizes.append(0)
                         last = k
@@ -149,7 +177,7 @@ def sorted_runs(contents: DataFrame, range_days: int = 31, file_id: str = "file_
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranges, pa.int32()), pa.ListArray.from_arrays(offsets, bars)], schema=out)
 
-    return contents.select(file_id, text).mapInArrow(runs, f"file_id bigint, key_range int, bars array<{BAR_DDL}>")
+    return contents.select(file_id, text, *projections).mapInArrow(runs, f"file_id bigint, key_range int, bars array<{BAR_DDL}>")
 
 
 def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw_text") -> DataFrame:
@@ -165,7 +193,7 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
             ids, cols = [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 header, rows = cells(x)
-                names = [meaning(h) for h in header]
+                names = meanings(header, rows)
                 t = names.index("datetime") if "datetime" in names else None
                 rows = [r for r in rows if t is not None and t < len(r) and bar_minute(r[t]) is not None]
                 if not rows:
@@ -196,7 +224,7 @@ def project(texts: DataFrame, keys: tuple[str, ...] = ("file_id", "exchange", "s
             row, minutes, values, others = [], [], [], []
             for k, (text, learned) in enumerate(zip(b.column("raw_text").to_pylist(), b.column("learned").to_pylist(), strict=True)):
                 header, rows = cells(text)
-                at = place(header, {x["pos"]: x["meaning"] for x in learned or ()})
+                at = place(header, rows, {x["pos"]: x["meaning"] for x in learned or ()})
                 if "datetime" not in at:
                     continue
                 t, cols = at["datetime"], [(f, at.get(f)) for f in FIELDS]
@@ -213,3 +241,15 @@ def project(texts: DataFrame, keys: tuple[str, ...] = ("file_id", "exchange", "s
 
     ddl = ", ".join([*(f"{k} {t}" for k, t in kinds), "minute bigint", *(f"{f} double" for f in FIELDS), "others map<string,string>"])
     return texts.select(*(k for k, _ in kinds), "raw_text", "learned").mapInArrow(run, ddl)
+
+
+def unread_files(contents: DataFrame, file_id: str = "file_id", text: str = "raw_text") -> DataFrame:
+    """file_id, rows of the files that hold rows but give no bar: no column is known or recognised as the time, or no cell of it is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(i, len(rows)) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (rows := cells(x)[1]) and not read_bars(x)]
+            ids, sizes = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["file_id", "rows"])
+
+    return contents.select(file_id, text).mapInArrow(run, "file_id bigint, rows bigint")

@@ -95,3 +95,17 @@ def test_hot_ranges_are_folded_not_gathered(spark):
     folded, merged = (bag(compaction.merge_runs(runs, most=n).select("minute", *minute_csv.FIELDS, "file_ids").collect()) for n in (5, 1000))
     assert folded == merged and max(len(r[-1]) for r in folded) > 5 and min(len(r[-1]) for r in folded) >= 1
     assert compaction.merge_runs(runs.limit(0), most=5).count() == 0
+
+
+def test_unlisted_time_headers_give_bars(spark, tmp_path):
+    texts = [
+        (1, "datetime,open,close\n2023-01-03 10:00,5.18,5.19\n"), (2, "vom,open_it,close,zahl\n2023-01-03 10:00,5.18,5.19,1688381161\n2023-01-04 10:00,5.28,5.29,5\n"),
+        (3, "zahl,stempel,close_\n7,1688381160,5.39\n"), (4, "a,b\n1,x\n2,y\n"), (5, "datetime,open\n"), (6, None),
+    ]
+    spark.createDataFrame(texts, "file_id long, raw_text string").write.parquet(str(tmp_path / "csv_contents.parquet"))
+    spark.createDataFrame([(i, "SH", "1", "2023", str(i)) for i, _ in texts], "file_id long, exchange string, symbol string, year string, month string").write.parquet(str(tmp_path / "csv_files.parquet"))
+    q = lambda name: entry.queries()[name](spark, str(tmp_path))
+    assert bag(q("p5_bars").select("bar_minute", "open", "close", "n_files").collect()) == bag([("2023-01-03 10:00", 5.18, 5.19, 2), ("2023-01-04 10:00", 5.28, 5.29, 1), ("2023-07-03 10:46", None, 5.39, 1)])
+    assert bag(q("p5_found").collect()) == bag([(1, 2)])
+    assert bag(q("p5_unread").collect()) == bag([(4, 2)])
+    assert {tuple(r) for r in q("p7_found").collect()} >= {(2, "renamed", "vom"), (3, "renamed", "stempel"), (3, "renamed", "close_")}
