@@ -5,9 +5,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, small_batches
@@ -99,28 +98,29 @@ def shared_bars(merged: DataFrame) -> DataFrame:
     return b.select("file_id_a", "file_id_b").distinct()
 
 
-def plan_outputs(merged: DataFrame, target_bytes: int, row_bytes: int = 8 * (len(FIELDS) + 2)) -> DataFrame:
-    """The merged bars with the number of the well-sized output they go to, contiguous in key order.
-
-    Outputs are key ranges of about target_bytes; the count comes from one aggregate.
-    """
-    n = max(1, int(np.ceil(merged.count() * row_bytes / target_bytes)))
-    ranged = merged.repartitionByRange(n, "exchange", "symbol", "minute").sortWithinPartitions("exchange", "symbol", "minute")
-    return ranged.withColumn("output_no", F.spark_partition_id())
-
-
-def range_metadata(planned: DataFrame, row_bytes: int = 8 * (len(FIELDS) + 2)) -> DataFrame:
-    """Per output: rows, approximate bytes, first and last key."""
+def range_metadata(spark: SparkSession, bars: str) -> DataFrame:
+    """Per written file of bars: output_no in key order, rows, bytes of the file, first and last key."""
     key = F.struct("exchange", "symbol", "minute")
-    return planned.groupBy("output_no").agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) * row_bytes).alias("bytes"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    t = spark.read.parquet(bars).select(key.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    m = t.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.first("bytes").alias("bytes"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    # one row per output
+    return m.select((F.row_number().over(Window.orderBy("first_key")) - 1).alias("output_no"), "rows", "bytes", "first_key", "last_key", F.element_at(F.split("file", "/"), -1).alias("file"))
 
 
 def write_consolidated(merged: DataFrame, path: str, target_bytes: int = 128 << 20) -> None:
-    """Write the merged bars as few sorted Parquet files and their range metadata beside them.
+    """Write the merged bars as few sorted Parquet files and the range metadata of those files beside them.
 
-    Both are written through Spark's committer: a lost executor reruns its task, and no
+    The bars are written once as they come, whose bytes give the number of outputs of about
+    target_bytes, then again in key order; the metadata is read from the files themselves.
+    All are written through Spark's committer: a lost executor reruns its task, and no
     half-written file becomes visible.
     """
-    planned = plan_outputs(merged, target_bytes)
-    planned.drop("output_no").write.mode("overwrite").parquet(f"{path}/bars")
-    range_metadata(planned).write.mode("overwrite").parquet(f"{path}/ranges")
+    spark, staged = merged.sparkSession, f"{path}/staged"
+    merged.write.mode("overwrite").parquet(staged)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    n = max(1, -(-fs.getContentSummary(folder).getLength() // target_bytes))
+    order = ("exchange", "symbol", "minute")
+    spark.read.schema(merged.schema).parquet(staged).repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/bars")
+    fs.delete(folder, True)
+    range_metadata(spark, f"{path}/bars").write.mode("overwrite").parquet(f"{path}/ranges")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, asof, compaction, fill, rolling_totals, schema_drift, topn
 from ..operators.versions import latest_version
-from ..session import cut_lineage, read_table
+from ..session import checkpoint_dir, cut_lineage, read_table
 from ..sources import minute_csv
 from .training_sql import ORACLES  # noqa: F401
 
@@ -118,8 +120,10 @@ def p5_unread(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """The consolidated outputs with their key ranges (8 MB each at most, about)."""
-    m = compaction.range_metadata(compaction.plan_outputs(_bars(spark, d), 8 << 20))
+    """The consolidated outputs as written, with their key ranges (8 MB each, about)."""
+    out = f"{checkpoint_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    compaction.write_consolidated(_bars(spark, d), out, 8 << 20)
+    m = spark.read.parquet(f"{out}/ranges")
     return m.select("output_no", "rows", "bytes", F.concat_ws(".", "first_key.symbol", "first_key.exchange").alias("first_ticker"), F.concat_ws(".", "last_key.symbol", "last_key.exchange").alias("last_ticker"))
 
 

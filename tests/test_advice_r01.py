@@ -109,3 +109,17 @@ def test_unlisted_time_headers_give_bars(spark, tmp_path):
     assert bag(q("p5_found").collect()) == bag([(1, 2)])
     assert bag(q("p5_unread").collect()) == bag([(4, 2)])
     assert {tuple(r) for r in q("p7_found").collect()} >= {(2, "renamed", "vom"), (3, "renamed", "stempel"), (3, "renamed", "close_")}
+
+
+def test_range_metadata_describes_the_files(spark, tmp_path):
+    rows = [("SH", f"{i % 7}", i, *[float(i)] * len(minute_csv.FIELDS), [i]) for i in range(5000)]
+    ddl = "exchange string, symbol string, minute bigint, " + ", ".join(f"{f} double" for f in minute_csv.FIELDS) + ", file_ids array<bigint>"
+    compaction.write_consolidated(spark.createDataFrame(rows, ddl), str(tmp_path / "out"), 40_000)
+    ranges = {r["file"]: r for r in spark.read.parquet(str(tmp_path / "out/ranges")).collect()}
+    parts = list((tmp_path / "out/bars").glob("*.parquet"))
+    assert len(parts) > 2 and {p.name for p in parts} == set(ranges) and sum(r["rows"] for r in ranges.values()) == 5000
+    for p in parts:
+        keys = [tuple(r) for r in spark.read.parquet(str(p)).select("exchange", "symbol", "minute").collect()]
+        r = ranges[p.name]
+        assert (len(keys), p.stat().st_size, min(keys), max(keys)) == (r["rows"], r["bytes"], tuple(r["first_key"]), tuple(r["last_key"]))
+        assert keys == sorted(keys)
