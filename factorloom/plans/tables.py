@@ -147,6 +147,16 @@ def t_upsert(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert(old, new, ["ticker"])
 
 
+def t_upsert_all(spark: SparkSession, d: str) -> DataFrame:
+    """t_upsert of every factor: per factor and ticker the values of its last date replace those of its first."""
+    keys = ["factor_name", "ticker"]
+    v = read_table(spark, d, "factor_values").where("factor_name is not null and ticker is not null and trade_date is not null")
+    v = latest_version(v.withColumn("factor_value", F.when(~F.isnan("factor_value"), F.col("factor_value"))), [*keys, "trade_date"], "written_at", ["factor_value"])
+    old = v.groupBy(*keys).agg(F.min_by("factor_value", "trade_date").alias("score"))
+    new = v.groupBy(*keys).agg(F.max_by("factor_value", "trade_date").alias("score"), F.count("factor_value").alias("n"))
+    return tables.upsert(old, new, keys)
+
+
 def t_lifecycle_latest(spark: SparkSession, d: str) -> DataFrame:
     """The present state of every factor: the last change by time, then record."""
     t = read_table(spark, d, "factor_lifecycle").where("uid is not null")
@@ -290,7 +300,7 @@ def t_factor_ic_store(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     t_scan_filter, t_equi_join, t_semi_join, t_anti_join, t_asof_backward, t_asof_forward, t_resample_days, t_resample_rows, t_resample_month, t_resample_week, t_bars_from_ticks, stream_bars, t_next_session, t_previous_sessions, t_business_days,
-    t_runs, t_screen, t_industry_statistics, t_upsert, t_lifecycle_latest, t_status_pivot, t_status_pivot_all, pl_demean_group, pl_zscore, pl_ranks, pl_quartiles, pl_top_bottom, pl_percentile_between, pl_latest_sma_peers, pl_classifier_tests,
+    t_runs, t_screen, t_industry_statistics, t_upsert, t_upsert_all, t_lifecycle_latest, t_status_pivot, t_status_pivot_all, pl_demean_group, pl_zscore, pl_ranks, pl_quartiles, pl_top_bottom, pl_percentile_between, pl_latest_sma_peers, pl_classifier_tests,
     rk_covariance, rk_single_index, rk_weights, bt_top_k, bt_holdings, t_sliding_window_counts, t_json_extract, t_factor_ic_store,
 )
 QUERIES = {f.__name__: f for f in _ALL}

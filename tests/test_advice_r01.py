@@ -123,3 +123,14 @@ def test_range_metadata_describes_the_files(spark, tmp_path):
         r = ranges[p.name]
         assert (len(keys), p.stat().st_size, min(keys), max(keys)) == (r["rows"], r["bytes"], tuple(r["first_key"]), tuple(r["last_key"]))
         assert keys == sorted(keys)
+
+
+@needs_tables
+def test_upsert_of_every_factor(spark):
+    c = duckdb.connect()
+    c.sql(f"create view factor_values as select * from read_parquet('{DATA}/factor_values.parquet')")
+    sql, want = entry.oracle_sql()["t_upsert"], []
+    for (f,) in c.sql("select distinct factor_name from factor_values where factor_name is not null").fetchall():
+        want += [(f, *r) for r in c.sql(f"select ticker, score, n from ({sql.replace('composite_score', f)})").fetchall()]
+    got = entry.queries()["t_upsert_all"](spark, DATA).select("factor_name", "ticker", "score", "n").collect()
+    assert len({r[0] for r in want}) > 1 and bag(got) == bag(want)
