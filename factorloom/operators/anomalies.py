@@ -6,12 +6,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small_batches
+from ..session import slices
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,8 @@ class Chart:
     least: float = 0.0
 
 
+#: Sources a worker charts at a time (memory bound; results don't depend on it).
+SOURCES = 500
 STUCK_RUN = 5
 SPIKE_RUN = 2
 #: Weights of the newest record in the mean and the scale; records for the first estimate.
@@ -113,10 +116,12 @@ def control_chart(y: np.ndarray, quiet: np.ndarray, chart: Chart) -> np.ndarray:
     return out
 
 
-def _matrix(rows: list, field: str, width: int) -> np.ndarray:
-    out = np.full((len(rows), width), np.nan)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = [np.nan if x[field] is None else x[field] for x in r]
+def _matrix(values: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Series of flat values as rows padded with NaN."""
+    place = np.arange(lengths.max(initial=0))
+    inside = place < lengths[:, None]
+    out = np.full(inside.shape, np.nan)
+    out[inside] = values[(starts[:, None] + place)[inside]]
     return out
 
 
@@ -135,35 +140,35 @@ def implausible_readings(held: DataFrame, source: str, at: str, charts: Sequence
     move the scale of any chart. Nulls and NaN are no readings; null sources or times are
     left out; infinite readings are impossible; empty tables and single records give no rows.
     """
-    small_batches(held.sparkSession, 500)
     fields = [c.field for c in charts]
     record = F.struct(F.col(at).alias("_at"), *[F.col(f).cast("double").alias(f) for f in fields])
     series = held.where(F.col(source).isNotNull() & F.col(at).isNotNull()).groupBy(source).agg(F.array_sort(F.collect_list(record)).alias("_series"))
     schema = T.StructType([held.schema[source], T.StructField(at, held.schema[at].dataType), T.StructField("field_name", T.StringType()), T.StructField("kind", T.StringType())])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lengths = pdf["_series"].map(len).to_numpy()
+    names = [f.name for f in schema.fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, SOURCES)):
+            lengths = pc.list_value_length(b.column("_series")).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts, flat = np.cumsum(lengths) - lengths, b.column("_series").flatten()
+            at_time = flat.field("_at")
             # sources of like length share a matrix, so one long series doesn't widen all
-            for part in np.split(o := np.argsort(lengths, kind="stable"), np.flatnonzero(np.diff(np.ceil(np.log2(np.maximum(lengths[o], 1))))) + 1):
-                if not len(part):
-                    continue
-                rows = [pdf["_series"].iat[i] for i in part]
-                names = pdf[source].to_numpy()[part]
-                width = max(map(len, rows))
-                resting = np.zeros((len(rows), width), bool)
-                if idle:
-                    resting = _matrix(rows, idle, width) == 0
+            kinds_of_length = np.ceil(np.log2(np.maximum(lengths, 1)))
+            for size in np.unique(kinds_of_length):
+                part = np.flatnonzero(kinds_of_length == size)
+                take = lambda field: _matrix(flat.field(field).to_numpy(zero_copy_only=False).astype(float), lengths[part], starts[part])  # noqa: B023, E731
+                resting = take(idle) == 0 if idle else None
                 for c in charts:
-                    x = _matrix(rows, c.field, width)
+                    x = take(c.field)
                     bad = (x < c.floor) | (x == np.inf) | ((x == c.floor) & (not c.strict))
                     runs = run_lengths(x)
                     chartable = ~bad & ~np.isnan(x) & ((x > 0) | (not c.log))
                     y = np.where(chartable, np.log(np.where(chartable, x, 1.0)) if c.log else x, np.nan)
-                    spikes = control_chart(y, resting | (runs > 2), c) if width else bad
+                    quiet = runs > 2 if resting is None else resting | (runs > 2)
+                    spikes = control_chart(y, quiet, c)
                     for kind, hit in (("impossible", bad), ("stuck", runs >= STUCK_RUN), ("spike", spikes & chartable)):
                         i, j = np.nonzero(hit)
                         if len(i):
-                            yield pd.DataFrame({source: names[i], at: [rows[a][b]["_at"] for a, b in zip(i, j, strict=True)], "field_name": c.field, "kind": kind})
+                            yield pa.RecordBatch.from_arrays([b.column(source).take(pa.array(part[i])), at_time.take(pa.array(starts[part[i]] + j)), pa.array([c.field] * len(i)), pa.array([kind] * len(i))], names=names)
 
-    return series.mapInPandas(scan, schema)
+    return series.mapInArrow(scan, schema)

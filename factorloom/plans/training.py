@@ -43,6 +43,27 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("ticker", day_text(F.col("day")).alias("trade_day"), *cols, F.col("volume_7_n").cast("int").alias("days_with_volume_7d"))
 
 
+#: The day up to which p1_corrected's trees are first stored.
+STORED_UNTIL = "2024-05-31"
+
+
+def p1_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of volume from trees stored with what was recorded by a day, after everything recorded later corrected them.
+
+    Later records restate days, fill gaps months late, carry tickers on past their last day,
+    begin earlier, or bring new tickers; the result is that of the whole table.
+    """
+    t = read_table(spark, d, "stock_daily_real").where("ticker is not null and trade_date is not null").withColumn("day", asof.day_number(F.col("trade_date")))
+    version = F.struct(F.col("created_at").alias("_v"), F.when(~F.isnan("volume"), F.col("volume")).alias("volume"))
+    early = F.col("created_at").isNull() | (F.col("created_at") < F.lit(STORED_UNTIL).cast("timestamp"))
+    both = t.groupBy("ticker", "day").agg(F.max(version).alias("now"), F.max(F.when(early, version)).alias("before"))
+    trees = rolling_totals.tree_table(both.where("before is not null").select("ticker", "day", "before.volume"), "ticker", "day", "volume")
+    zero, has = F.lit(0.0), lambda c: F.col(c).isNotNull().cast("int")
+    late = both.where("before is null or not (now.volume <=> before.volume)").select("ticker", "day", (F.coalesce("now.volume", zero) - F.coalesce("before.volume", zero)).alias("delta"), (has("now.volume") - has("before.volume")).alias("added"))
+    out = rolling_totals.totals_from_trees(rolling_totals.correct_tree_table(trees, late, "ticker", "day"), "ticker", "day", (7, 30))
+    return out.select("ticker", day_text(F.col("day")).alias("trade_day"), F.col("total_7").alias("volume_sum_7d"), F.col("total_30").alias("volume_sum_30d"), F.col("n_7").cast("int").alias("days_with_volume_7d"))
+
+
 def _fill_numeric(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "stock_fundamental").withColumn("day", asof.day_number(F.col("trade_date")))
     return fill.fill_numeric(t, "ticker", "day", {f: fill.usable_ratio(F.col(f)) for f in ("pe", "pb")})
@@ -162,4 +183,4 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.concat_ws(".", "symbol", "exchange").alias("ticker"), at.alias("bar_minute"), *minute_csv.FIELDS, "others")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_unread, p5_outputs, p6_found, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrected, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_unread, p5_outputs, p6_found, p7_found, p7_table)}

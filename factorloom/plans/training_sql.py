@@ -37,6 +37,11 @@ select ticker, strftime(d, '%Y-%m-%d') as trade_day,
 from totals
 """
 
+P1_CORRECTED = "with " + _TOTALS + """
+select ticker, strftime(d, '%Y-%m-%d') as trade_day, v7 as volume_sum_7d, v30 as volume_sum_30d, cast(n7 as integer) as days_with_volume_7d
+from totals
+"""
+
 P2_FOUND = """
 with ratios as (
   select distinct ticker, cast(trade_date as date) as d, 'pe' as field_name, pe as x from stock_fundamental where ticker is not null and trade_date is not null
@@ -90,4 +95,4 @@ from held where factor_value is not null and not isnan(factor_value) and not isi
 qualify rank_no <= 10
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p1_corrected": P1_CORRECTED, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND}

@@ -6,7 +6,9 @@ import os
 import tempfile
 import weakref
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: weakref.WeakSet = weakref.WeakSet()
@@ -35,13 +37,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a local one only where none is set (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the one the cluster names in spark.checkpoint.dir, or the one set on the context.
+
+    Only a local session that names none gets a temporary folder (tests); elsewhere that is
+    an error, since each executor would write to its own disk.
+    """
     sc = spark.sparkContext
-    if d and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(d)
-    elif not d and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factorloom-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="factorloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -51,9 +57,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of one Arrow batch where a row holds a whole series."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows: bounds a worker's arrays where a row holds a whole series."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from util import frame_bag
 
 DATA = "/root/testdata/sf0.001"
 SOME = [
-    "p1_found", "p1_totals", "p2_found", "p3_found", "p6_found", "fx_where", "fx_ts_rank", "fx_ts_argmax", "fx_cs_rank", "fx_clip_mad_cs", "fx_winsorize_cs", "fx_nested_factor", "fx_cs_linreg_resid",
+    "p1_found", "p1_totals", "p1_corrected", "p2_found", "p3_found", "p6_found", "fx_where", "fx_ts_rank", "fx_ts_argmax", "fx_cs_rank", "fx_clip_mad_cs", "fx_winsorize_cs", "fx_nested_factor", "fx_cs_linreg_resid",
     "ind_atr", "ind_aroon_up", "sig_crossed_above", "lab_future_max", "an_ic_spearman", "an_quantile_returns", "an_event_study", "an_metrics", "t_asof_backward", "t_asof_forward", "t_resample_days", "t_previous_sessions", "t_runs", "t_upsert", "pl_ranks", "pl_top_bottom", "rk_covariance", "bt_holdings",
 ]
 pytestmark = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="no test tables here")

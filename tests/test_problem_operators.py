@@ -61,12 +61,31 @@ def test_rolling_totals_brute_force(spark):
 
 def test_late_correction_touches_ancestors_only():
     leaves = np.arange(8.0)
-    tree = rolling_totals.build_trees(leaves[None])[0]
+    tree = rolling_totals.build_trees(leaves[None])
     before = tree.copy()
-    rolling_totals.correct_tree(tree, 5, 10.0)
+    rolling_totals.correct_trees(tree, np.array([0]), np.array([5]), np.array([10.0]))
     assert (tree != before).sum() == 4
     leaves[5] += 10
-    assert (tree == rolling_totals.build_trees(leaves[None])[0]).all()
+    assert (tree == rolling_totals.build_trees(leaves[None])).all()
+
+
+def test_corrections_extend_spans_and_create_shards(spark):
+    rng = random.Random(3)
+    base = [("a", d, float(rng.randint(0, 9))) for d in range(100, 111)] + [("b", d, float(d)) for d in (500, 700)] + [("q", 5, 1.0)]
+    late = [("a", 90, 5.0), ("a", 105, -2.0), ("a", 115, 7.0), ("a", 900, 3.0), ("b", 712, 4.0), ("b", 728, 6.0), ("new", 40, 8.0), ("new", 300, 9.0), (None, 4, 1.0), ("a", None, 1.0)]
+    df = spark.createDataFrame(base, "ticker string, day int, v double")
+    fixes = spark.createDataFrame([(t, d, v, 0 if (t, d) == ("a", 105) else 1) for t, d, v in late], "ticker string, day int, delta double, added int")
+    trees = rolling_totals.tree_table(df, "ticker", "day", "v")
+    got = {(r["ticker"], r["day"]): (r["total_7"], r["total_30"], r["n_30"]) for r in rolling_totals.totals_from_trees(rolling_totals.correct_tree_table(trees, fixes, "ticker", "day"), "ticker", "day", (7, 30)).collect()}
+    sums, days = {}, {}
+    for t, d, v in [*base, *late]:
+        if t and d is not None:
+            sums[t, d] = sums.get((t, d), 0.0) + v
+            days.setdefault(t, set()).add(d)
+    for t, ds in days.items():
+        for d in range(min(ds), max(ds) + 1):
+            assert got.pop((t, d)) == (sum(sums.get((t, e), 0) for e in range(d - 6, d + 1)), sum(sums.get((t, e), 0) for e in range(d - 29, d + 1)), sum(e in ds for e in range(d - 29, d + 1))), (t, d)
+    assert not got
 
 
 def test_parse_day(spark):
@@ -246,4 +265,4 @@ def test_stored_trees_after_late_corrections(spark):
     for t, d, v, n in fixes:
         value[t, d] += v
         count[t, d] += n
-    assert got == {(t, d): (sum(value[t, e] for e in range(d - 29, d + 1)), sum(count[t, e] for e in range(d - 29, d + 1))) for t in "ab" for d in range(700)}
+    assert got == {(t, d): (sum(value[t, e] for e in range(d - 29, d + 1)), sum(count[t, e] for e in range(d - 29, d + 1))) for t in "ab" for d in range(700)} | {("z", 5): (1.0, 1)}
