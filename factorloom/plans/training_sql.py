@@ -95,4 +95,26 @@ from held where factor_value is not null and not isnan(factor_value) and not isi
 qualify rank_no <= 10
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p1_corrected": P1_CORRECTED, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
+
+
+def _effect_sql(name: str, rows: str, by: str, mean: str) -> str:
+    """Tables name_g (sums of r by a column), name_c (variance components) and name (shrunken effects about a mean)."""
+    return f"""{name}_g as (select field_name, {by}, count(r) as n, sum(r) as s, sum(r * r) as q from {rows} where r is not null group by 1, 2),
+{name}_c as (select field_name, sum(s) / sum(n) as mean, sum(greatest(q - s * s / n, 0)) / greatest(sum(n) - count(*), 1) as noise, var_pop(s / n) as between_, avg(1.0 / n) as inverse from {name}_g group by 1),
+{name} as (select field_name, {by}, (s - n * {mean}) / (n + noise / greatest(between_ - noise * inverse, noise * 1e-3, 1e-9)) as e from {name}_g join {name}_c using (field_name))"""
+
+
+#: The mixed-effects prediction: time effects, group effects, both once more.
+P2_FILLED = f"""
+with wide as (select distinct ticker, cast(trade_date as date) as d, case when pe > 0 and pe < 9999 and not isnan(pe) then pe end as pe, case when pb > 0 and pb < 9999 and not isnan(pb) then pb end as pb
+  from stock_fundamental where ticker is not null and trade_date is not null),
+long as (select ticker, d, 'pe' as field_name, pe as x, ln(pe) as y from wide union all select ticker, d, 'pb', pb, ln(pb) from wide),
+r1 as (select *, y as r from long), {_effect_sql('v1', 'r1', 'd', 'mean')}, mu as (select field_name, mean as mu from v1_c),
+r2 as (select long.*, y - mu - coalesce(e, 0) as r from long join mu using (field_name) left join v1 using (field_name, d)), {_effect_sql('u1', 'r2', 'ticker', '0')},
+r3 as (select long.*, y - mu - coalesce(e, 0) as r from long join mu using (field_name) left join u1 using (field_name, ticker)), {_effect_sql('v2', 'r3', 'd', '0')},
+r4 as (select long.*, y - mu - coalesce(e, 0) as r from long join mu using (field_name) left join v2 using (field_name, d)), {_effect_sql('u2', 'r4', 'ticker', '0')}
+select long.field_name, long.ticker, strftime(long.d, '%Y-%m-%d') as trade_day, round(coalesce(x, exp(mu + u2.e + coalesce(v2.e, 0))), 4) as value, x is null and u2.e is not null as filled
+from long join mu using (field_name) left join u2 on u2.field_name = long.field_name and u2.ticker = long.ticker left join v2 on v2.field_name = long.field_name and v2.d = long.d
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p1_corrected": P1_CORRECTED, "p2_found": P2_FOUND, "p2_filled": P2_FILLED, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
