@@ -6,7 +6,8 @@ import csv
 import re
 import unicodedata
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import date
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,15 @@ _INT = re.compile(r"[+-]?\d+\Z")
 _DEC = re.compile(r"[+-]?(\d+\.\d*|\.\d+)\Z")
 _TIME = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?\Z")
 _NUMBER = re.compile(r"[+-]?\d[\d,]*(?:\.\d*)?|[+-]?\.\d+")
+_INTS = re.compile(r"[+-]?\d+(?:\n[+-]?\d+)*\Z")
+_DECS = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:\n[+-]?(?:\d+\.?\d*|\.\d+))*\Z")
+_WHEN = r"\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?"
+_TIMES = re.compile(f"{_WHEN}(?:\\n{_WHEN})*\\Z")
+_BLANKS = " \t\u3000\ufeff"
 _UNITS = re.compile(r"[(（\[【].*?[)）\]】]")
 
 
+@lru_cache(maxsize=65_536)
 def meaning(header: str) -> str | None:
     """The column a header names, or None if it isn't known."""
     h = unicodedata.normalize("NFKC", header).strip().casefold()
@@ -47,38 +54,45 @@ def meaning(header: str) -> str | None:
 
 def cells(text: str | None) -> tuple[list[str], list[list[str]]]:
     """Header and rows of a CSV text, any line end and separator, trimmed; blank lines are no rows."""
-    lines = [x for x in re.split(r"\r\n|\n|\r", (text or "").lstrip("﻿")) if x.strip()]
+    whole = (text or "").lstrip("\ufeff")
+    if "\r" in whole:
+        whole = whole.replace("\r\n", "\n").replace("\r", "\n")
+    lines = [x for x in whole.split("\n") if x and not x.isspace()]
     if not lines:
         return [], []
     sep = max(",;\t|", key=lines[0].count)
-    if any('"' in x for x in lines):
-        rows = list(csv.reader(lines, delimiter=sep))
-    else:
-        rows = [x.split(sep) for x in lines]
-    clean = [[c.strip(" \t　﻿") for c in r] for r in rows]
-    return clean[0], clean[1:]
+    rows = list(csv.reader(lines, delimiter=sep)) if '"' in whole else [x.split(sep) for x in lines]
+    rows = [[c.strip(_BLANKS) for c in r] for r in rows]
+    return rows[0], rows[1:]
 
 
-def cell_type(values: list[str]) -> str | None:
-    """integer, decimal, timestamp or text; None if every cell is missing."""
+def column_type(values: list[str]) -> str | None:
+    """integer, decimal, timestamp or text of a column's cells, judged at once; None if every cell is missing."""
     seen = [v for v in values if v not in MISSING]
     if not seen:
         return None
-    if all(_INT.match(v) for v in seen):
-        return "integer"
-    if all(_DEC.match(v) or _INT.match(v) for v in seen):
-        return "decimal"
-    return "timestamp" if all(_TIME.match(v) for v in seen) else "text"
+    if _INT.match(seen[0]) or _DEC.match(seen[0]):
+        joined = "\n".join(seen)
+        return "integer" if _INTS.match(joined) else "decimal" if _DECS.match(joined) else "text"
+    return "timestamp" if _TIME.match(seen[0]) and _TIMES.match("\n".join(seen)) else "text"
+
+
+@lru_cache(maxsize=65_536)
+def _day_minutes(y: str, m: str, d: str) -> int | None:
+    """Minutes from 1970 to a day; None if there is no such day."""
+    try:
+        return (date(int(y), int(m), int(d)).toordinal() - 719_163) * 1440
+    except ValueError:
+        return None
 
 
 def bar_minute(v: str) -> int | None:
     """Minutes since 1970 of a wall-clock time, or of epoch seconds; None if it is neither."""
     if m := _TIME.match(v):
         y, _, mo, d, h, mi, s = m.groups()
-        try:
-            return int(datetime(int(y), int(mo), int(d), int(h or 0), int(mi or 0), int(s or 0), tzinfo=UTC).timestamp()) // 60
-        except ValueError:
-            return None
+        h, mi = int(h or 0), int(mi or 0)
+        day = _day_minutes(y, mo, d)
+        return None if day is None or h > 23 or mi > 59 or s and int(s) > 59 else day + 60 * h + mi
     if _INT.match(v):
         n = int(v)
         return (n // 1000 if n >= 10**11 else n) // 60 if n > 0 else None
@@ -87,9 +101,14 @@ def bar_minute(v: str) -> int | None:
 
 def number(v: str, field: str) -> float | None:
     """A cell's number without unit and separators; a price without decimal point is in hundredths."""
-    if v in MISSING or not (m := _NUMBER.search(v)):
+    if v in MISSING:
+        return None
+    if v.isascii() and v.replace(".", "", 1).isdigit():
+        n = float(v)
+    elif m := _NUMBER.search(v):
+        n = float(m[0].replace(",", ""))
+    else:
         return None
-    n = float(m[0].replace(",", ""))
     return n / 100 if field in PRICES and "." not in v else n
 
 
@@ -187,10 +206,11 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
     middle, for headers of no known meaning only, the median of the numbers in it.
     """
 
+    kind = [("header", pa.string()), ("meaning", pa.string()), ("type", pa.string()), ("middle", pa.float64())]
+
     def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("header", pa.string()), ("meaning", pa.string()), ("type", pa.string()), ("middle", pa.float64())])
         for b in batches:
-            ids, cols = [], []
+            ids, sizes, flat = [], [0], ([], [], [], [])
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 header, rows = cells(x)
                 names = meanings(header, rows)
@@ -198,14 +218,16 @@ def file_schemas(contents: DataFrame, file_id: str = "file_id", text: str = "raw
                 rows = [r for r in rows if t is not None and t < len(r) and bar_minute(r[t]) is not None]
                 if not rows:
                     continue
-                mine = []
-                for j, (h, m) in enumerate(zip(header, names, strict=True)):
-                    values = [r[j] if j < len(r) else "" for r in rows]
+                even = len(rows) if all(len(r) == len(header) for r in rows) else 0
+                columns = zip(*rows, strict=True) if even else ([r[j] if j < len(r) else "" for r in rows] for j in range(len(header)))
+                for h, m, values in zip(header, names, columns, strict=True):
                     nums = [n for v in values if (n := number(v, "")) is not None] if m is None else []
-                    mine.append({"header": h, "meaning": m or "", "type": cell_type(values), "middle": float(np.median(nums)) if nums else None})
+                    for c, v in zip(flat, (h, m or "", column_type(values), float(np.median(nums)) if nums else None), strict=True):
+                        c.append(v)
                 ids.append(i)
-                cols.append(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols, pa.list_(kind))], names=["file_id", "columns"])
+                sizes.append(len(header))
+            columns = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, kind, strict=True)], names=[n for n, _ in kind])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), columns)], names=["file_id", "columns"])
 
     return contents.select(file_id, text).mapInArrow(schemas, "file_id bigint, columns array<struct<header:string,meaning:string,type:string,middle:double>>")
 
