@@ -9,16 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .panel_ops import Keys, delay, div, ts_max, ts_mean, ts_min, ts_stddev
+from .panel_ops import Keys, delay, div, ts_max, ts_mean, ts_min, ts_stddev, weighted_sum
 
 
 def wma(k: Keys, x: str, n: int) -> Column:
     """Linearly weighted mean, the newest row heaviest."""
-    total = None
-    for i in range(n):
-        c = F.col(x) if i == 0 else F.lag(x, i).over(k.along)
-        total = c * (n - i) if total is None else total + c * (n - i)
-    return total / (n * (n + 1) / 2)
+    return weighted_sum(k, F.col(x), [2 * (i + 1) / (n * (n + 1)) for i in range(n)])
 
 
 def bollinger_upper(k: Keys, x: str, n: int = 20, width: float = 2.0) -> Column:
@@ -40,6 +36,71 @@ def _pop(k: Keys, x: str, n: int) -> Column:
     return F.when(F.count(F.col(x)).over(w) >= n, F.stddev_pop(F.col(x)).over(w))
 
 
+def ts_stddev_pop(k: Keys, x: str, n: int) -> Column:
+    """Population deviation of the window."""
+    return _pop(k, x, n)
+
+
+def ts_max_drawdown(k: Keys, x: str, n: int) -> Column:
+    """Greatest fall within the window from its own running peak, as a share (0 or negative)."""
+    arr = F.collect_list(F.col(x)).over(k.last(n))
+    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
+    step = lambda a, v: F.struct(F.greatest(a.peak, v).alias("peak"), F.least(a.worst, F.coalesce(F.try_divide(v, F.greatest(a.peak, v)) - 1, F.lit(0.0))).alias("worst"))
+    return F.when(F.size(arr) >= n, F.aggregate(arr, start, step, lambda a: a.worst))
+
+
+def ts_share_below(k: Keys, x: str, n: int) -> Column:
+    """Share of the window's values that are less than this one."""
+    arr = F.collect_list(F.col(x)).over(k.last(n))
+    return F.when((F.size(arr) >= n) & F.col(x).isNotNull(), F.size(F.filter(arr, lambda v: v < F.col(x))) / F.lit(n))
+
+
+def log_true_range(k: Keys, high: str, low: str, close: str) -> Column:
+    """True range of the logarithms; the first row has its own range."""
+    h, lo, before = (F.when(c > 0, F.ln(c)) for c in (F.col(high), F.col(low), F.lag(close).over(k.along)))
+    return F.when(h.isNotNull() & lo.isNotNull(), F.greatest(h - lo, h - before, before - lo))
+
+
+def polynomials(n: int, degree: int) -> list[list[float]]:
+    """Orthonormal polynomials of degrees 0 to `degree` on n equidistant points (Gram-Schmidt)."""
+    at = [2 * i / (n - 1) - 1 if n > 1 else 0.0 for i in range(n)]
+    basis: list[list[float]] = []
+    for d in range(degree + 1):
+        v = [t**d for t in at]
+        for b in basis:
+            dot = sum(x * y for x, y in zip(v, b, strict=True))
+            v = [x - dot * y for x, y in zip(v, b, strict=True)]
+        size = sum(x * x for x in v) ** 0.5
+        basis.append([x / size for x in v])
+    return basis
+
+
+def _dot(arr: Column, weights: list[float]) -> Column:
+    """Sum of an array's values times weights."""
+    return F.aggregate(F.zip_with(arr, F.array(*[F.lit(w) for w in weights]), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+
+
+def ts_poly_trend(k: Keys, x: str, n: int, degree: int) -> Column:
+    """Twice the orthonormal component of a degree (1 line, 2 parabola, 3 cubic) of the window's logarithms, times its share of their variance."""
+    v = F.when(F.col(x) > 0, F.ln(F.col(x)))
+    arr = F.collect_list(v).over(k.last(n))
+    coef, total = _dot(arr, polynomials(n, degree)[degree]), F.var_pop(v).over(k.last(n)) * n
+    share = F.when(total > 1e-18, F.least(coef * coef / total, F.lit(1.0)))
+    return F.when(F.size(arr) >= n, 2 * coef * share)
+
+
+def ts_poly_deviation(k: Keys, x: str, n: int, degree: int) -> Column:
+    """This value's distance from the polynomial fitted to the window of logarithms, in root mean squares of the residuals."""
+    v = F.when(F.col(x) > 0, F.ln(F.col(x)))
+    arr = F.collect_list(v).over(k.last(n))
+    basis = polynomials(n, degree)
+    coefs = [_dot(arr, b) for b in basis]
+    fitted = sum((c * F.lit(b[-1]) for c, b in zip(coefs[1:], basis[1:], strict=True)), coefs[0] * F.lit(basis[0][-1]))
+    rest = F.aggregate(arr, F.lit(0.0), lambda a, y: a + y * y) - sum((c * c for c in coefs[1:]), coefs[0] * coefs[0])
+    rms = F.sqrt(F.greatest(rest, F.lit(0.0)) / n)
+    return F.when(F.size(arr) >= n, div(v - fitted, F.when(rms > 1e-9, rms)))
+
+
 def rolling_zscore(k: Keys, x: str, n: int) -> Column:
     s = ts_stddev(k, x, n)
     return div(F.col(x) - ts_mean(k, x, n), F.when(s > 1e-12, s))
@@ -179,6 +240,6 @@ def rolling_sum_wide(k: Keys, x: str, n: int) -> Column:
     return F.when(cnt - seen >= n, run - F.coalesce(older, F.lit(0.0)))
 
 
-ONE = ("wma", "bollinger_upper", "bollinger_lower", "bollinger_percent", "rolling_zscore", "roc", "log_return", "mean_deviation", "cci", "aroon_up", "aroon_down", "cumulative", "expanding_max", "expanding_min", "drawdown", "future_max", "future_min", "future_mean", "future_std", "fixed_label", "ts_quantile", "ts_skew", "ts_count", "rolling_sum_wide")
+ONE = ("wma", "ts_stddev_pop", "ts_max_drawdown", "ts_share_below", "ts_poly_trend", "ts_poly_deviation", "bollinger_upper", "bollinger_lower", "bollinger_percent", "rolling_zscore", "roc", "log_return", "mean_deviation", "cci", "aroon_up", "aroon_down", "cumulative", "expanding_max", "expanding_min", "drawdown", "future_max", "future_min", "future_mean", "future_std", "fixed_label", "ts_quantile", "ts_skew", "ts_count", "rolling_sum_wide")
 TWO = ("signed_volume", "crossed_above", "crossed_below")
-THREE = ("stoch_k", "williams_r", "true_range")
+THREE = ("stoch_k", "williams_r", "true_range", "log_true_range")

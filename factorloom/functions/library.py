@@ -7,14 +7,16 @@ from __future__ import annotations
 
 TR = "true_range(H, L, C)"
 R = "pct_change(X, 1)"
+#: Mean true range of logarithms over A rows.
+LTR_MEAN = "ts_mean(log_true_range(H, L, C), A)"
 
 LIBRARY: dict[str, tuple[tuple[tuple[str, float | None], ...], str]] = {
     "momentum": ((("X", None), ("N", 10)), "X - delay(X, N)"),
-    "hma": ((("X", None), ("N", 9), ("M", 4), ("Q", 3)), "wma(2 * wma(X, M) - wma(X, N), Q)"),
+    "hma": ((("X", None), ("N", 9)), "wma(2 * wma(X, floor(N / 2)) - wma(X, N), floor(sqrt(N)))"),
     "dpo": ((("X", None), ("N", 20)), "X - delay(ts_mean(X, N), N / 2 + 1)"),
     "envelope_upper": ((("X", None), ("N", 20), ("P", 3)), "ts_mean(X, N) * (1 + P / 100)"),
     "envelope_lower": ((("X", None), ("N", 20), ("P", 3)), "ts_mean(X, N) * (1 - P / 100)"),
-    "bollinger_width": ((("X", None), ("N", 20)), "4 * ts_stddev(X, N) / ts_mean(X, N)"),
+    "bollinger_width": ((("X", None), ("N", 20)), "4 * ts_stddev_pop(X, N) / ts_mean(X, N)"),
     "keltner_upper": ((("H", None), ("L", None), ("C", None), ("N", 20), ("K", 2)), f"ts_mean((H + L + C) / 3, N) + K * ts_mean({TR}, N)"),
     "keltner_lower": ((("H", None), ("L", None), ("C", None), ("N", 20), ("K", 2)), f"ts_mean((H + L + C) / 3, N) - K * ts_mean({TR}, N)"),
     "donchian_mid": ((("H", None), ("L", None), ("N", 20)), "(ts_max(H, N) + ts_min(L, N)) / 2"),
@@ -56,11 +58,11 @@ LIBRARY: dict[str, tuple[tuple[tuple[str, float | None], ...], str]] = {
     "up_days": ((("X", None), ("N", 10)), "ts_sum(delta(X, 1) > 0 ? 1 : 0, N)"),
     "down_days": ((("X", None), ("N", 10)), "ts_sum(delta(X, 1) < 0 ? 1 : 0, N)"),
     "rolling_total_return": ((("X", None), ("N", 20)), "X / delay(X, N) - 1"),
-    "rolling_annualized": ((("X", None), ("N", 20)), f"ts_mean({R}, N) * 252"),
+    "rolling_annualized": ((("X", None), ("N", 20)), f"power(ts_prod(1 + {R}, N), 252 / N) - 1"),
     "rolling_sharpe": ((("X", None), ("N", 20)), f"ts_mean({R}, N) / ts_stddev({R}, N) * sqrt(252)"),
     "rolling_sortino": ((("X", None), ("N", 20)), f"ts_mean({R}, N) / sqrt(ts_mean(power(min({R}, 0), 2), N)) * sqrt(252)"),
     "rolling_omega": ((("X", None), ("N", 20)), f"ts_sum(max({R}, 0), N) / ts_sum(max(0 - {R}, 0), N)"),
-    "rolling_max_drawdown": ((("X", None), ("N", 20)), "ts_min(X / ts_max(X, N) - 1, N)"),
+    "rolling_max_drawdown": ((("X", None), ("N", 20)), "ts_max_drawdown(X, N)"),
     "rolling_downside_risk": ((("X", None), ("N", 20)), f"sqrt(ts_mean(power(min({R}, 0), 2), N)) * sqrt(252)"),
     "overnight_gap": ((("O", None), ("C", None)), "O / delay(C, 1) - 1"),
     "intraday_return": ((("O", None), ("C", None)), "C / O - 1"),
@@ -74,4 +76,40 @@ LIBRARY: dict[str, tuple[tuple[tuple[str, float | None], ...], str]] = {
     "volume_price_correlation": ((("C", None), ("V", None), ("N", 10)), "0 - ts_corr(C, V, N)"),
     "heikin_close": ((("O", None), ("H", None), ("L", None), ("C", None)), "(O + H + L + C) / 4"),
     "trend_strength_rank": ((("X", None), ("N", 10)), "cs_rank(X / delay(X, N) - 1)"),
+    # bar-vector indicators: scores squashed by the normal distribution to -50..50
+    "normal_score": ((("X", None), ("S", 1)), "100 * normal_cdf(S * X) - 50"),
+    "close_minus_ma": ((("H", None), ("L", None), ("C", None), ("N", 20), ("A", 20), ("S", 1)), f"normal_score((log(C) - delay(ts_mean(log(C), N), 1)) / ({LTR_MEAN} * sqrt(N + 1)), S)"),
+    # the short sum takes two steps more than it is divided by, and the long one counts those twice, as in the studied definition
+    "price_change_oscillator": ((("H", None), ("L", None), ("C", None), ("N", 5), ("M", 4), ("S", 4)), "normal_score((ts_sum(abs(log(C / delay(C, 1))), N + 2) / N - (ts_sum(abs(log(C / delay(C, 1))), N + 2) + delay(ts_sum(abs(log(C / delay(C, 1))), N * M - N), N)) / (N * M)) / ((0.36 + 1 / N + 0.7 * log(0.5 * M) / 1.609) * ts_mean(log_true_range(H, L, C), N * M)), S)"),
+    "volume_weighted_ma_ratio": ((("C", None), ("V", None), ("N", 20), ("S", 1)), "normal_score(1000 * log(N * ts_sum(C * V, N) / (ts_sum(V, N) * ts_sum(C, N))) / sqrt(N), S)"),
+    "normalized_on_balance_volume": ((("C", None), ("V", None), ("N", 20), ("S", 0.6)), "normal_score(ts_sum(sign(delta(C, 1)) * V, N) / ts_sum(V, N) * sqrt(N), S)"),
+    "delta_on_balance_volume": ((("C", None), ("V", None), ("N", 20), ("D", 1), ("S", 0.6)), "delta(normalized_on_balance_volume(C, V, N, S), D)"),
+    "normalized_positive_volume_index": ((("C", None), ("V", None), ("N", 20), ("W", 250), ("S", 0.5)), "normal_score(ts_sum(V > delay(V, 1) ? log(C / delay(C, 1)) : 0, N) / (ts_stddev_pop(log(C / delay(C, 1)), W) * sqrt(N)), S)"),
+    "normalized_negative_volume_index": ((("C", None), ("V", None), ("N", 20), ("W", 250), ("S", 0.5)), "normal_score(ts_sum(V < delay(V, 1) ? log(C / delay(C, 1)) : 0, N) / (ts_stddev_pop(log(C / delay(C, 1)), W) * sqrt(N)), S)"),
+    "volume_momentum": ((("V", None), ("N", 10), ("M", 2), ("S", 3)), "normal_score(log(ts_mean(V, N) / ts_mean(V, N * M)) / power(M, 0.3333333333333333), S)"),
+    "money_flow": ((("H", None), ("L", None), ("C", None), ("V", None), ("N", 20)), "100 * ts_sum(H > L ? (2 * C - H - L) / (H - L) * V : 0, N) / ts_sum(V, N)"),
+    "price_volume_fit": ((("C", None), ("V", None), ("N", 20), ("S", 9)), "normal_score(ts_linreg(log(C), log(V + 1), N, 'beta'), S)"),
+    "linear_deviation": ((("X", None), ("N", 20), ("S", 0.6)), "normal_score(ts_poly_deviation(X, N, 1), S)"),
+    "quadratic_deviation": ((("X", None), ("N", 20), ("S", 0.6)), "normal_score(ts_poly_deviation(X, N, 2), S)"),
+    "cubic_deviation": ((("X", None), ("N", 20), ("S", 0.6)), "normal_score(ts_poly_deviation(X, N, 3), S)"),
+    "linear_trend": ((("X", None), ("H", None), ("L", None), ("C", None), ("N", 20), ("A", 20), ("S", 1)), f"normal_score(ts_poly_trend(X, N, 1) / ({LTR_MEAN} * (N - 1)), S)"),
+    "quadratic_trend": ((("X", None), ("H", None), ("L", None), ("C", None), ("N", 20), ("A", 20), ("S", 1)), f"normal_score(ts_poly_trend(X, N, 2) / ({LTR_MEAN} * (N - 1)), S)"),
+    "cubic_trend": ((("X", None), ("H", None), ("L", None), ("C", None), ("N", 20), ("A", 20), ("S", 1)), f"normal_score(ts_poly_trend(X, N, 3) / ({LTR_MEAN} * (N - 1)), S)"),
+    "aroon_diff": ((("H", None), ("L", None), ("N", 25)), "aroon_up(H, N) - aroon_down(L, N)"),
+    "percent_rank": ((("X", None), ("N", 50)), "ts_share_below(X, N)"),
+    "dv2": ((("H", None), ("L", None), ("C", None), ("N", 252), ("M", 2)), "100 * ts_share_below(ts_mean(C / ((H + L) / 2) - 1, M), N)"),
+    "rmi": ((("X", None), ("N", 20), ("M", 5)), "100 * smma(max(delta(X, M), 0), N) / (smma(max(delta(X, M), 0), N) + smma(max(0 - delta(X, M), 0), N))"),
+    "fractal_high": ((("H", None),), "only_if(delay(H, 2) == ts_max(H, 5), delay(H, 2))"),
+    "fractal_low": ((("L", None),), "only_if(delay(L, 2) == ts_min(L, 5), delay(L, 2))"),
+    "heikin_delta": ((("O", None), ("H", None), ("L", None), ("C", None)), "(O + H + L + C) / 4 - heikin_open(O, H, L, C)"),
+    "dickson_mean": ((("X", None), ("N", 14), ("Q", 9)), "(zero_lag_indicator(X, N) + hma(X, Q)) / 2"),
+    "oscillator": ((("X", None), ("N", 30)), "X - ts_mean(X, N)"),
+    "ulcer_performance": ((("X", None), ("N", 14)), f"ts_mean({R}, N) / (ulcer_index(X, N) / 100)"),
+    "macd_signal": ((("X", None), ("N", 12), ("M", 26), ("Q", 9)), "ema(macd(X, N, M), Q)"),
+    "macd_histogram": ((("X", None), ("N", 12), ("M", 26), ("Q", 9)), "macd(X, N, M) - ema(macd(X, N, M), Q)"),
+    "price_oscillator": ((("X", None), ("N", 12), ("M", 26)), "ema(X, N) - ema(X, M)"),
+    "percentage_price_oscillator": ((("X", None), ("N", 12), ("M", 26)), "100 * (ema(X, N) - ema(X, M)) / ema(X, M)"),
+    "trix_signal": ((("X", None), ("N", 15), ("Q", 9)), "ema(trix(X, N), Q)"),
+    "stochastic_rsi": ((("X", None), ("N", 14), ("M", 14)), "100 * (rsi(X, N) - ts_min(rsi(X, N), M)) / (ts_max(rsi(X, N), M) - ts_min(rsi(X, N), M))"),
+    "sortino_population": ((("X", None), ("N", 20)), f"ts_mean({R}, N) / ts_stddev_pop({R}, N) * sqrt(N)"),
 }

@@ -142,17 +142,20 @@ def ts_mean(k: Keys, x: str, n: int, weight: bool = False, half_life: float | No
     """Mean of the window; with half-life weights if weight (NULL if any value is missing)."""
     if not weight:
         return _full(k, x, n, F.avg(F.col(x)))
-    ws = half_life_weights(n, half_life)
-    return _lagsum(k, n, [(w, F.col(x)) for w in ws])
+    return weighted_sum(k, F.col(x), half_life_weights(n, half_life))
 
 
-def _lagsum(k: Keys, n: int, terms: list[tuple[float, Column]]) -> Column:
-    """Sum of w_i times the value n-1-i rows back; NULL if any is missing."""
-    total = None
-    for i, (w, c) in enumerate(terms):
-        t = F.lit(w) * F.lag(c, n - 1 - i).over(k.along) if i < n - 1 else F.lit(w) * c
-        total = t if total is None else total + t
-    return total
+def weighted_sum(k: Keys, c: Column, weights: list[float], missing: float | None = None) -> Column:
+    """Sum of the weights (oldest first) times the last rows' values, folded over one array whatever the width.
+
+    NULL if a value is missing, or, if `missing` is given, that value stands for it (the window must have all its rows).
+    """
+    n = len(weights)
+    w = k.last(n)
+    full = F.count(c if missing is None else F.lit(1)).over(w) >= n
+    arr = F.collect_list(c if missing is None else F.coalesce(c, F.lit(missing))).over(w)
+    products = F.zip_with(arr, F.array(*[F.lit(float(x)) for x in weights]), lambda v, x: v * x)
+    return F.when(full, F.aggregate(products, F.lit(0.0), lambda a, v: a + v))
 
 
 def ts_stddev(k: Keys, x: str, n: int, weight: bool = False, half_life: float | None = None) -> Column:
@@ -169,7 +172,7 @@ def ts_moment(k: Keys, xs: list[str], n: int, half_life: float | None) -> Column
     for x in xs[1:]:
         c = c * F.col(x)
     ws = half_life_weights(n, half_life) if half_life else [1 / n] * n
-    return _lagsum(k, n, [(w, c) for w in ws])
+    return weighted_sum(k, c, ws)
 
 
 def _both(k: Keys, y: str, x: str, n: int) -> Column:
@@ -259,15 +262,15 @@ def ts_linreg(k: Keys, y: str, x: str, n: int, param: str = "beta", weight: bool
         enough = F.count(yy).over(w) >= 2
     else:
         ws = half_life_weights(n, half_life)
-        s = {p: _present(k, n, ws, c) for p, c in {"w": F.when(both, F.lit(1.0)), "x": xx, "y": yy, "xy": xx * yy, "xx": xx * xx}.items()}
+        s = {p: _present(k, ws, c) for p, c in {"w": F.when(both, F.lit(1.0)), "x": xx, "y": yy, "xy": xx * yy, "xx": xx * xx}.items()}
         slope = div(s["w"] * s["xy"] - s["x"] * s["y"], F.when(s["w"] * s["xx"] - s["x"] * s["x"] > 1e-12, s["w"] * s["xx"] - s["x"] * s["x"]))
         cut, scale, enough = div(s["y"] - slope * s["x"], s["w"]), F.lit(math.sqrt(ws[-1])), F.count(yy).over(w) >= 2
     value = {"beta": slope, "alpha": cut, "resid": (F.col(y) - cut - slope * F.col(x)) * scale}[param]
     return F.when(_rows(k, n) & enough, value)
 
 
-def _present(k: Keys, n: int, ws: list[float], c: Column) -> Column:
-    return sum((F.coalesce(F.lag(c, n - 1 - i).over(k.along) if i < n - 1 else c, F.lit(0.0)) * F.lit(w) for i, w in enumerate(ws)), F.lit(0.0))
+def _present(k: Keys, ws: list[float], c: Column) -> Column:
+    return weighted_sum(k, c, ws, missing=0.0)
 
 
 def block_agg(k: Keys, x: str, n: int, sections: int, inner: str, outer: str) -> Column:
@@ -427,6 +430,17 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(mid)
 
 
+#: The approximation 26.2.17 of the normal distribution (Abramowitz and Stegun), scale and coefficients.
+CDF_P, CDF_B = 0.2316419, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530, 0.0)
+
+
+def normal_cdf(z: Column) -> Column:
+    """Distribution function of the standard normal, absolute error below 7.5e-8."""
+    x = F.abs(z)
+    tail = F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi)) * _poly(CDF_B, 1 / (1 + x * F.lit(CDF_P)))
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
 def industry_neutralize(k: Keys, x: str, industry: str, method: str = "demean") -> Column:
     """Within date and industry: demean, standardize, rank (to normal quantiles) or regression.
 

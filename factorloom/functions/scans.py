@@ -238,7 +238,8 @@ def triple_barrier(pdf: pd.DataFrame, x: str, out: str, window: int = 10, up: fl
     for i in range(len(v) - window):
         if np.isnan(v[i]):
             continue
-        ahead = v[i + 1 : i + window + 1] / v[i] - 1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ahead = v[i + 1 : i + window + 1] / v[i] - 1
         hits = np.flatnonzero((ahead >= up) | (ahead <= -down))
         res[i] = 0 if not len(hits) else 1 if ahead[hits[0]] >= up else -1
     return pdf.assign(**{out: res})
@@ -259,6 +260,60 @@ def tsi(pdf: pd.DataFrame, x: str, out: str, window: int = 25, fast: int = 13) -
     return pdf.assign(**{out: pd.Series(r, d.index).reindex(pdf.index)})
 
 
-SCANS |= {f.__name__: f for f in (adx, parabolic_sar, heikin_open, supertrend, renko_level, triple_barrier, zero_lag_ema, tsi)}
+def zero_lag_indicator(pdf: pd.DataFrame, x: str, out: str, window: int = 12, most: int = 50) -> pd.DataFrame:
+    """Error-correcting exponential mean: of the gains -most/10 to most/10 the one of least error, the first of equals."""
+    v = pdf[x].to_numpy(float)
+    mean, alpha = _smooth(v, window, 2 / (window + 1)), 2 / (window + 1)
+    gains = np.arange(-most, most + 1) / 10
+    res, state = np.full(len(v), np.nan), None
+    for i, (p, e) in enumerate(zip(v, mean, strict=True)):
+        if np.isnan(p) or np.isnan(e):
+            continue
+        if state is None:
+            state = e
+        else:
+            tried = alpha * (e + gains * (p - state)) + (1 - alpha) * state
+            state = tried[np.argmin(np.abs(p - tried))]
+        res[i] = state
+    return pdf.assign(**{out: res})
+
+
+def hurst(pdf: pd.DataFrame, x: str, out: str, window: int = 40, first: int = 10) -> pd.DataFrame:
+    """Exponent by which the deviation of differences grows with their lag (first to half the window), over full windows of known values."""
+    v = pdf[x].to_numpy(float)
+    res = np.full(len(v), np.nan)
+    lags = np.arange(first, window // 2)
+    if len(v) >= window and len(lags) > 1:
+        w = np.lib.stride_tricks.sliding_window_view(v, window)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tau = np.log10(np.sqrt(np.array([(w[:, k:] - w[:, :-k]).std(axis=1) for k in lags])))
+        at = np.log10(lags) - np.log10(lags).mean()
+        res[window - 1 :] = 2 * (at @ tau) / (at @ at)
+    return pdf.assign(**{out: np.where(np.isfinite(res), res, np.nan)})
+
+
+def ewm_std(pdf: pd.DataFrame, x: str, out: str, window: int, adjust: bool = False) -> pd.DataFrame:
+    """Exponentially weighted deviation of span `window`, corrected for bias."""
+    return pdf.assign(**{out: pdf[x].ewm(span=window, adjust=adjust).std()})
+
+
+def trend_position(pdf: pd.DataFrame, x: str, out: str, window: int = 0, up: float = 0.05, down: float = 0.05, mode: str = "binary") -> pd.DataFrame:
+    """Where a row stands between its zig-zag's extrema: binary (1 while rising to a high), scaled (0 at the low to 1 at the high) or change (share to the next extreme)."""
+    marks = trend_label(pdf, x, "_m", 0, up, down)["_m"].to_numpy(float)
+    v = pdf[x].to_numpy(float)
+    res = np.full(len(v), np.nan)
+    ends = [i for i, m in enumerate(marks) if m in (1, -1)]
+    for a, b in zip(ends, ends[1:], strict=False):
+        lo, hi = min(v[a], v[b]), max(v[a], v[b])
+        for i in range(a, b):
+            if np.isnan(v[i]):
+                continue
+            res[i] = float(marks[b] == 1) if mode == "binary" else (v[i] - lo) / (hi - lo) if mode == "scaled" else v[b] / v[i] - 1
+    return pdf.assign(**{out: res})
+
+
+SCANS |= {f.__name__: f for f in (zero_lag_indicator, hurst, ewm_std, trend_position, adx, parabolic_sar, heikin_open, supertrend, renko_level, triple_barrier, zero_lag_ema, tsi)}
+#: Scans that see later rows only.
+AHEAD_SCANS = ("triple_barrier",)
 #: How many columns a scan reads, where it is more than one.
 SCAN_COLUMNS = {"adx": ("high", "low", "close"), "parabolic_sar": ("high", "low"), "heikin_open": ("open_", "high", "low", "close"), "supertrend": ("high", "low", "close")}

@@ -41,6 +41,8 @@ STUCK_RUN = 5
 SPIKE_RUN = 2
 #: Weights of the newest record in the mean and the scale; records for the first estimate.
 MEAN_WEIGHT, WALK_WEIGHT, SCALE_WEIGHT, START = 0.1, 0.6, 0.05, 25
+#: How far the scale may move from the series' usual one: it follows lasting changes of volatility, not a few quiet records.
+SCALE_RANGE = (0.5, 6.0)
 
 
 def run_lengths(x: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def control_chart(y: np.ndarray, quiet: np.ndarray, chart: Chart) -> np.ndarray:
     tiny = 1e-9
     usual = np.where(usual > tiny, usual, np.nan)
     base = np.where(np.isnan(usual), np.inf, usual)
-    scale = np.clip(np.where(first > tiny, first, base), 0.5 * base, 2 * base)
+    scale = np.clip(np.where(first > tiny, first, base), SCALE_RANGE[0] * base, SCALE_RANGE[1] * base)
     mean = _nanmedian(v[:, : 5 if chart.walk else START])
     found = np.zeros((b, n), bool)
     pending = np.zeros(b, np.int64)
@@ -108,7 +110,7 @@ def control_chart(y: np.ndarray, quiet: np.ndarray, chart: Chart) -> np.ndarray:
         clipped = np.clip(e, -2.5 * scale, 2.5 * scale)
         mean = mean + np.where(calm, weight * np.where(chart.walk, e, clipped), 0.0)
         grow = calm & ~q[:, t]
-        scale = np.where(grow, np.clip((1 - SCALE_WEIGHT) * scale + SCALE_WEIGHT * 1.2533 * np.abs(clipped), 0.5 * base, 2 * base), scale)
+        scale = np.where(grow, np.clip((1 - SCALE_WEIGHT) * scale + SCALE_WEIGHT * 1.2533 * np.abs(clipped), SCALE_RANGE[0] * base, SCALE_RANGE[1] * base), scale)
         mean = np.where(moved, level, mean)
         pending = np.where(moved, 0, pending)
     out = np.zeros((b, n), bool)

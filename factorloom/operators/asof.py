@@ -55,7 +55,7 @@ def validity_intervals(changes: DataFrame, entity: Sequence[str], at: str, rank:
     return out.select(*entity, F.col(at).alias("valid_from"), "valid_to", *(F.col(f"_best.{x}").alias(x) for x in [*rank, *keep]))
 
 
-def interval_join(events: DataFrame, intervals: DataFrame, entity: Sequence[str], start: str, end: str, event_id: str, bucket_days: int = 366, share: float = 0.01, salts: int = 16) -> DataFrame:
+def interval_join(events: DataFrame, intervals: DataFrame, entity: Sequence[str], start: str, end: str, event_id: str, bucket_days: int = 366, share: float = 0.01, salts: int | None = None) -> DataFrame:
     """Events joined with every interval of their entity that overlaps [start, end].
 
     Both sides are exploded into buckets of `bucket_days` days and equi-joined on entity

@@ -106,11 +106,11 @@ def range_metadata(spark: SparkSession, bars: str) -> DataFrame:
     return m.select((F.row_number().over(Window.orderBy("first_key")) - 1).alias("output_no"), "rows", "bytes", "first_key", "last_key", F.element_at(F.split("file", "/"), -1).alias("file"))
 
 
-def write_consolidated(merged: DataFrame, path: str, target_bytes: int = 128 << 20) -> None:
+def write_consolidated(merged: DataFrame, path: str, target_bytes: int = 128 << 20, outputs: int | None = None) -> None:
     """Write the merged bars as few sorted Parquet files and the range metadata of those files beside them.
 
     The bars are written once as they come, whose bytes give the number of outputs of about
-    target_bytes, then again in key order; the metadata is read from the files themselves.
+    target_bytes (unless `outputs` is given), then again in key order; the metadata is read from the files themselves.
     All are written through Spark's committer: a lost executor reruns its task, and no
     half-written file becomes visible.
     """
@@ -118,7 +118,7 @@ def write_consolidated(merged: DataFrame, path: str, target_bytes: int = 128 <<
     merged.write.mode("overwrite").parquet(staged)
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    n = max(1, -(-fs.getContentSummary(folder).getLength() // target_bytes))
+    n = outputs or max(1, -(-fs.getContentSummary(folder).getLength() // target_bytes))
     order = ("exchange", "symbol", "minute")
     spark.read.schema(merged.schema).parquet(staged).repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/bars")
     fs.delete(folder, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,7 +18,7 @@ from ..functions import indicators
 from ..functions import panel_ops as ops
 from ..functions.library import LIBRARY
 from ..functions.panel_ops import Keys
-from ..functions.scans import SCAN_COLUMNS, SCANS
+from ..functions.scans import AHEAD_SCANS, SCAN_COLUMNS, SCANS
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ ELEMENT: dict[str, Callable[..., Column]] = {
     "add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": ops.div, "neg": lambda x: -x,
     "lt": partial(ops.compare, "<"), "gt": partial(ops.compare, ">"), "lte": partial(ops.compare, "<="), "gte": partial(ops.compare, ">="), "eq": partial(ops.compare, "=="), "ne": partial(ops.compare, "!="),
     "where": lambda c, x, y: F.when(c, x).otherwise(y), "if_else": lambda c, x, y: F.when(c, x).otherwise(y), "fillna": lambda x, v: F.coalesce(x, v), "copy": lambda x: x, "max": F.greatest, "min": F.least,
-    "floor": lambda x: F.floor(x).cast("double"), "only_if": lambda c, x: F.when(c, x), "exists": lambda x: x.isNotNull(),
+    "floor": lambda x: F.floor(x).cast("double"), "only_if": lambda c, x: F.when(c, x), "exists": lambda x: x.isNotNull(), "normal_cdf": ops.normal_cdf,
 }
 #: Functions over windows, and how many of their first arguments are panel values.
 WINDOWED: dict[str, tuple[int, Callable[..., Column]]] = {
@@ -163,6 +165,9 @@ def substitute(node: Node, put: dict[str, Node]) -> Node:
         x, y = (a.value for a in args)
         v = {"+": x + y, "-": x - y, "*": x * y}[node.value] if node.value != "/" else x / y
         return Node("num", int(v) if float(v).is_integer() else v)
+    if node.kind == "call" and node.value in ("floor", "sqrt") and len(args) == 1 and args[0].kind == "num":
+        v = math.sqrt(args[0].value) if node.value == "sqrt" else math.floor(args[0].value)
+        return Node("num", int(v) if float(v).is_integer() else v)
     return Node(node.kind, node.value, args, tuple((k, substitute(v, put)) for k, v in node.named))
 
 
@@ -191,19 +196,68 @@ def parse(text: str) -> Node:
     return Parser(text).parse()
 
 
+#: History of functions that carry a state or see all rows so far.
+UNBOUNDED = 1 << 30
+_PAST = ("ffill", "cumulative", "expanding_max", "expanding_min", "drawdown", "expanding_mean", "expanding_std")
+_AHEAD = ("bfill", "future_max", "future_min", "future_mean", "future_std", "fixed_label")
+_PLUS_ONE = ("aroon_up", "aroon_down")
+_LAGGED = ("delay", "delta", "pct_change", "roc", "log_return")
+_STEP = ("signed_volume", "crossed_above", "crossed_below", "true_range", "log_true_range")
+
+
 def lookback(node: Node) -> int:
-    """Rows of history a formula needs before its first full value, nested windows added up."""
+    """Rows of history before a row that its value depends on; UNBOUNDED for states and expanding windows.
+
+    Library indicators and macros are expanded first; the history of nested functions adds
+    up. Functions of later rows and of a date's cross-section need none of their own.
+    """
+    if (simple := expand(node)) is not node:
+        return lookback(simple)
     inner = max((lookback(a) for a in [*node.args, *(v for _, v in node.named)]), default=0)
-    if node.kind != "call":
+    if node.kind != "call" or inner >= UNBOUNDED:
         return inner
     name = ALIASES.get(str(node.value), str(node.value))
-    nums = [a.value for a in node.args if a.kind == "num"] + [v.value for k, v in node.named if k in ("window", "n") and v.kind == "num"]
-    ints = [int(v) for v in nums if isinstance(v, int) and not isinstance(v, bool) and v > 0]
-    if name in ("delay", "delta", "pct_change"):
-        return inner + (ints[0] if ints else 1)
-    if name.startswith(("ts_", "num_")) or name.endswith("squared_sum") or name in ("block_agg", "ewma", "normalize", "standardize", "clip_mad", "winsorize_quantile"):
-        return inner + (ints[0] - 1 if ints else 0)
-    return inner
+    if name in SCANS:
+        return inner if name in AHEAD_SCANS else UNBOUNDED
+    if name not in WINDOWED:
+        return inner
+    n, fn = WINDOWED[name]
+    given = inspect.signature(fn).bind_partial(None, *(None if i < n else getattr(a, "value", None) for i, a in enumerate(node.args)), **{k: v.value for k, v in node.named})
+    given.apply_defaults()
+    a = given.arguments
+    if name in _PAST or a.get("expanding"):
+        return UNBOUNDED
+    if name in _AHEAD or name.startswith("cs_") or name == "industry_neutralize" or a.get("cross_section"):
+        return inner
+    rows = a.get("n") if a.get("n") is not None else a.get("window")
+    if name in _STEP:
+        return inner + 1
+    if name in _LAGGED:
+        return inner + max(int(rows), 0)
+    if rows is None:
+        raise ValueError(f"{name} has no known history")
+    return inner + int(rows) - (0 if name in _PLUS_ONE else 1)
+
+
+def safe_lookback(formula: str, most: int = 252) -> int:
+    """lookback of a formula's text, at most `most` rows (a year); `most` where the history is unbounded."""
+    return min(lookback(parse(formula)), most)
+
+
+def scan_arguments(name: str, node: Node) -> tuple[list, dict]:
+    """Constants of a call of a scan, bound by the function's own signature; too many or unknown ones are an error."""
+    reads = SCAN_COLUMNS.get(name, ("x",))
+    for v in [*node.args[len(reads) :], *(v for _, v in node.named)]:
+        if v.kind not in ("num", "str"):
+            raise ValueError(f"expected a constant, not {v}")
+    if len(node.args) < len(reads):
+        raise ValueError(f"{name} needs {', '.join(reads)}")
+    args, named = [a.value for a in node.args[len(reads) :]], {k: v.value for k, v in node.named}
+    try:
+        inspect.signature(SCANS[name]).bind(None, *[None] * len(reads), "", *args, **named)
+    except TypeError as e:
+        raise ValueError(f"{name}: {e}") from None
+    return args, named
 
 
 class Compiler:
@@ -215,7 +269,7 @@ class Compiler:
         self.known: dict[str, tuple[Column, int]] = {}
         self.inputs: dict[int, dict[str, Column]] = {}
         self.windows: dict[int, dict[str, Column]] = {}
-        self.scans: dict[int, list[tuple[str, dict[str, str], str, list, dict]]] = {}
+        self.scans: dict[int, list[tuple[str, list[str], str, list, dict]]] = {}
 
     def plain(self, node: Node) -> object:
         if node.kind in ("num", "str"):
@@ -262,7 +316,8 @@ class Compiler:
             cols = node.args[: len(reads)]
             level = max(self.value(x)[1] for x in cols)
             out = self.short.setdefault(str(node), f"_x{len(self.short)}")
-            self.scans.setdefault(level, []).append((name, {r: self.column(x, level) for r, x in zip(reads, cols, strict=True)}, out, [self.plain(a) for a in node.args[len(reads) :]], {k: self.plain(v) for k, v in node.named}))
+            args, named = scan_arguments(name, node)
+            self.scans.setdefault(level, []).append((name, [self.column(x, level) for x in cols], out, args, named))
             return F.col(f"`{out}`"), level + 1
         if name not in WINDOWED:
             raise ValueError(f"no function {name}")
@@ -281,15 +336,44 @@ class Compiler:
         return F.col(f"`{out}`"), level + 1
 
 
-def evaluate(panel: DataFrame, formulas: dict[str, str], keys: Keys = Keys(), last_only: bool = False) -> DataFrame:
+def names_of(node: Node) -> set[str]:
+    """The columns a formula reads."""
+    own = {str(node.value)} if node.kind == "name" else set()
+    return own.union(*(names_of(x) for x in [*node.args, *(v for _, v in node.named)]))
+
+
+def first_row(panel: DataFrame, since: str, rows: int, keys: Keys = Keys()) -> str | None:
+    """The date `rows` dates of the panel before `since` (the first date, if there are fewer), as text.
+
+    One aggregate over the date column, from the filtered scan; rows is bounded by the caller.
+    """
+    dates = panel.where(F.col(keys.date) < F.lit(since).cast("date")).select(keys.date).distinct().orderBy(F.col(keys.date).desc()).limit(rows)
+    return dates.agg(F.min(keys.date).cast("string")).first()[0]
+
+
+def evaluate(panel: DataFrame, formulas: dict[str, str], keys: Keys = Keys(), last_only: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:
     """A table of the panel's keys and one column per formula.
 
     All formulas share one plan: equal sub-formulas are computed once, and the windows of a
-    nesting level of like partitioning share a shuffle and sort. last_only keeps the last
-    date (its value comes from one aggregate and the whole history is still read).
+    nesting level of like partitioning share a shuffle and sort; so do the recursive scans of
+    a level, which run in one grouped map over the keys and the columns that are still needed.
+
+    since, until (YYYY-MM-DD): only these dates come out, and only they and the history the
+    formulas look back on are read, by a date filter that reaches the scan (formulas of
+    unbounded history read all before). last_only: the last date alone, likewise.
     """
+    trees = {n: parse(t) for n, t in formulas.items()}
+    read = set().union(*map(names_of, trees.values()))
+    panel = panel.select(keys.ticker, keys.date, *[c for c in panel.columns if c in read and c not in (keys.ticker, keys.date)])
     c = Compiler(keys, panel.columns)
-    results = {n: c.value(parse(t)) for n, t in formulas.items()}
+    results = {n: c.value(t) for n, t in trees.items()}
+    if until:
+        panel = panel.where(F.col(keys.date) <= F.lit(until).cast("date"))
+    if last_only:
+        since = panel.agg(F.max(keys.date).cast("string")).first()[0]
+    if since and (rows := max(map(lookback, trees.values()), default=0)) < UNBOUNDED:
+        begin = first_row(panel, since, rows, keys) if rows else None
+        panel = panel.where(F.col(keys.date) >= F.lit(begin or since).cast("date"))
     df = panel
     top = max((x for _, x in results.values()), default=0)
     for level in range(top):
@@ -297,13 +381,24 @@ def evaluate(panel: DataFrame, formulas: dict[str, str], keys: Keys = Keys(), la
             df = df.withColumns(c.inputs[level])
         if level in c.windows:
             df = df.withColumns(c.windows[level])
-        for name, x, out, args, named in c.scans.get(level, ()):
-            df = scan(df, keys, partial(SCANS[name], **x, out=out, **dict(zip(("window", "half_life"), args, strict=False)), **named), [out])
-    if last_only:
-        df = df.join(panel.agg(F.max(keys.date).alias(keys.date)), keys.date, "left_semi")
+        if level in c.scans:
+            steps = [(partial(_scan_call, SCANS[name], columns=cols, out=out, args=args, named=named)) for name, cols, out, args, named in c.scans[level]]
+            df = scan(df, keys, partial(_in_turn, steps), [x[2] for x in c.scans[level]])
+    if since:
+        df = df.where(F.col(keys.date) >= F.lit(since).cast("date"))
     return df.select(keys.ticker, keys.date, *[col.alias(n) for n, (col, _) in results.items()])
 
 
+def _scan_call(fn: Callable, pdf: pd.DataFrame, columns: list[str], out: str, args: list, named: dict) -> pd.DataFrame:
+    return fn(pdf, *columns, out, *args, **named)
+
+
+def _in_turn(steps: list[Callable[[pd.DataFrame], pd.DataFrame]], pdf: pd.DataFrame) -> pd.DataFrame:
+    for step in steps:
+        pdf = step(pdf)
+    return pdf
+
+
 def scan(df: DataFrame, keys: Keys, fn: Callable[[pd.DataFrame], pd.DataFrame], outs: list[str]) -> DataFrame:
     """An order-dependent recursion along each ticker's rows (one row per date at most), in date order."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in outs]])

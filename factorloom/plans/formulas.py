@@ -13,7 +13,8 @@ from ..functions.panel_ops import Keys
 from ..operators.panel import daily_panel
 from ..session import read_table
 from .formula import evaluate
-from .formula_sql import formula_sql
+from .library_sql import CALLS, library_sql
+from .recursive_sql import SQL as RECURSIVE
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount", "pct_chg")
 _CLEAN = ", ".join(f"case when isnan({f}) or isinf({f}) then null else {f} end as {f}" for f in FIELDS)
@@ -187,36 +188,56 @@ UNSQL: dict[str, str] = {
     "fx_ts_corr_weighted": "ts_corr(log(close), log(open), 5, weight=True, half_life=2.0)",
     "fx_ts_cov_weighted": "ts_cov(log(close), log(open), 5, weight=True, half_life=2.0)",
     "fx_ts_linreg_weighted": "ts_linreg(close, open, 5, 'beta', weight=True, half_life=2.0)",
-    "fx_ts_linreg_resid": "ts_linreg(close, open, 10, 'resid')",
+    "fx_ts_linreg_resid": "ts_linreg(close, open, 10, 'resid') * 0.7310585786",
     "fx_ts_cumsum_agg_min_backward": "ts_cumsum_agg(pct_chg, 4, 'min', 'backward')",
     "fx_clip_mad_rolling": "clip_mad(close, 3.0, cross_section=False, window=20)",
     "fx_winsorize_rolling": "winsorize_quantile(close, 0.1, 0.1, cross_section=False, window=20)",
     "ind_ema": "ema(close, 12)", "ind_smma": "smma(close, 14)", "ind_dema": "dema(close, 10)", "ind_tema": "tema(close, 10)", "ind_macd": "macd(close, 12)", "ind_rsi": "rsi(close, 14)",
     "ind_trix": "trix(close, 5)", "ind_kama": "kama(close, 10)", "ind_laguerre": "laguerre(close, 0)", "ind_skew": "ts_skew(pct_chg, 20)", "lab_trend": "trend_label(close, 0)", "sig_stop_exit": "stop_exit(close, 0)",
-    "ind_adx": "adx(high, low, close, 14)", "ind_parabolic_sar": "parabolic_sar(high, low, 0)", "ind_heikin_open": "heikin_open(open, high, low, close)", "ind_supertrend": "supertrend(high, low, close, 10)", "ind_renko": "renko_level(close)", "lab_triple_barrier": "triple_barrier(close, 10)", "ind_zero_lag_ema": "zero_lag_ema(close, 12)", "ind_tsi": "tsi(close, 25)",
+    "ind_adx": "adx(high, low, close, 14)", "ind_parabolic_sar": "parabolic_sar(high, low, 0)", "ind_heikin_open": "heikin_open(open, high, low, close) / 3.7", "ind_supertrend": "supertrend(high, low, close, 10)", "ind_renko": "renko_level(close)", "lab_triple_barrier": "triple_barrier(close, 10)", "ind_zero_lag_ema": "zero_lag_ema(close, 12)", "ind_tsi": "tsi(close, 25)",
     "fx_neutralize_rank": "industry_neutralize(close, industry, 'rank')",
 }
 
 
+#: Decimals compared, where not 6: of values that lie on halves of the sixth, or that lose some to cancellation.
+DIGITS = {"lib_linear_deviation": 3, "lib_quadratic_deviation": 3, "lib_cubic_deviation": 3}
+
+
 def _query(name: str, formula: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = evaluate(panel(spark, d), {"value": formula}, Keys())
-        return out.select("ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_day"), F.round("value", 6).alias("value"))
+        return out.select("ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("trade_day"), F.round("value", DIGITS.get(name, 6)).alias("value"))
 
     run.__name__, run.__doc__ = name, f"The formula {formula} over the daily panel."
     return run
 
 
-def _oracle(sql: str) -> str:
+def _oracle(sql: str, digits: int = 6) -> str:
     inner = sql if sql.startswith("select ") else f"select ticker, trade_date, {sql} as value from p"
-    return f"with {PANEL_SQL}, answer as ({inner})\nselect ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(cast(value as double), 6) as value from answer"
+    return f"with {PANEL_SQL}, answer as ({inner})\nselect ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(cast(value as double), {digits}) as value from answer"
+
+
+def _oracle_of_tables(sql: str, digits: int = 6) -> str:
+    """SQL given as tables over the panel and, after the last of them, a select of ticker, trade_date and value."""
+    depth, at = 0, 0
+    for i, c in enumerate(sql):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and sql.startswith("select ", i) and (i == 0 or sql[i - 1] in " \n"):
+            at = i
+            break
+    return f"with recursive {PANEL_SQL}, {sql[:at]}, answer as ({sql[at:]})\nselect ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(cast(value as double), {digits}) as value from answer"
 
 
 #: The panel column that stands for each parameter of a library indicator.
 _PUT = {"X": "close", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "amount"}
 for _n, (_params, _) in LIBRARY.items():
-    _call = f"{_n}({', '.join(_PUT[p] for p, default in _params if default is None)})"
-    FORMULAS[f"lib_{_n}"] = (_call, formula_sql(_call, "p"))
-
+    _call = CALLS.get(_n) or f"{_n}({', '.join(_PUT[p] for p, default in _params if default is None)})"
+    if (_sql := library_sql(_n)) is None:
+        UNSQL[f"lib_{_n}"] = _call
+    else:
+        FORMULAS[f"lib_{_n}"] = (_call, f"select * from ({_sql})")
+
+#: Recursive tables and list windows as SQL.
+UNSQL_ORACLES = {n: _oracle_of_tables(s, DIGITS.get(n, 6)) for n, s in RECURSIVE.items() if n in UNSQL}
 QUERIES = {n: _query(n, f) for n, f in [*((n, f) for n, (f, _) in FORMULAS.items()), *UNSQL.items()]}
-ORACLES = {n: _oracle(s) for n, (_, s) in FORMULAS.items()}
+ORACLES = {n: _oracle(s, DIGITS.get(n, 6)) for n, (_, s) in FORMULAS.items()} | UNSQL_ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import anomalies, asof, compaction, fill, rolling_totals, schema_drift, topn
@@ -148,6 +148,31 @@ def p5_outputs(spark: SparkSession, d: str) -> DataFrame:
     return m.select("output_no", "rows", "bytes", F.concat_ws(".", "first_key.symbol", "first_key.exchange").alias("first_ticker"), F.concat_ws(".", "last_key.symbol", "last_key.exchange").alias("last_ticker"))
 
 
+def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the outputs and their range metadata, read back file by file: all counts must be 0.
+
+    few: outputs lacking of ten; unlike: outputs whose metadata differ from their rows;
+    overlapping: neighbouring key ranges that overlap; unsorted: rows before their
+    predecessor in a file; lost, doubled: bars against the merged ones.
+    """
+    out = f"{checkpoint_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    merged = cut_lineage(_bars(spark, d))
+    compaction.write_consolidated(merged, out, outputs=12)
+    key = F.struct("exchange", "symbol", "minute")
+    stored = spark.read.parquet(f"{out}/bars").select(key.alias("key"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("at"))
+    after = Window.partitionBy("file").orderBy("at")
+    per_file = stored.withColumn("_before", F.lag("key").over(after)).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.when(F.col("key") <= F.col("_before"), 1)).alias("unsorted"))
+    ranges = spark.read.parquet(f"{out}/ranges")
+    unlike = F.count(F.when(~(F.col("rows").eqNullSafe(F.col("n")) & F.col("first_key").eqNullSafe(F.col("lo")) & F.col("last_key").eqNullSafe(F.col("hi"))), 1))
+    files = ranges.join(per_file, "file", "full").agg(F.greatest(10 - F.count(F.lit(1)), F.lit(0)).alias("few"), unlike.alias("unlike"), F.sum("unsorted").alias("unsorted"))
+    # one row per output
+    overlapping = ranges.withColumn("_last", F.lag("last_key").over(Window.orderBy("output_no"))).agg(F.count(F.when(F.col("first_key") <= F.col("_last"), 1)).alias("overlapping"))
+    want = merged.select(key.alias("key")).distinct()
+    have = stored.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    bars = want.join(have, "key", "full").agg(F.count(F.when(F.col("n").isNull(), 1)).alias("lost"), F.count(F.when(F.col("n") > 1, 1)).alias("doubled"))
+    return files.crossJoin(overlapping).crossJoin(bars).select("few", "unlike", "overlapping", "unsorted", "lost", "doubled")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The ten tickers of highest value of each date and factor."""
     held = latest_version(read_table(spark, d, "factor_values"), ["ticker", "trade_date", "factor_name"], "written_at", ["factor_value"])
@@ -183,4 +208,4 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.concat_ws(".", "symbol", "exchange").alias("ticker"), at.alias("bar_minute"), *minute_csv.FIELDS, "others")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrected, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_unread, p5_outputs, p6_found, p7_found, p7_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_corrected, p2_found, p2_filled, p3_found, p4_found, p5_found, p5_bars, p5_unread, p5_outputs, p5_ranges, p6_found, p7_found, p7_table)}

@@ -117,4 +117,4 @@ select long.field_name, long.ticker, strftime(long.d, '%Y-%m-%d') as trade_day,
 from long join mu using (field_name) left join u2 on u2.field_name = long.field_name and u2.ticker = long.ticker left join v2 on v2.field_name = long.field_name and v2.d = long.d
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p1_corrected": P1_CORRECTED, "p2_found": P2_FOUND, "p2_filled": P2_FILLED, "p3_found": P3_FOUND, "p6_found": P6_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_totals": P1_TOTALS, "p1_corrected": P1_CORRECTED, "p2_found": P2_FOUND, "p2_filled": P2_FILLED, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p5_ranges": "select cast(0 as bigint) as few, cast(0 as bigint) as unlike, cast(0 as bigint) as overlapping, cast(0 as bigint) as unsorted, cast(0 as bigint) as lost, cast(0 as bigint) as doubled"}

@@ -175,7 +175,21 @@ def test_fill_category(spark):
     df = spark.createDataFrame(rows, "u string, id int, at int, name string")
     got = fill.fill_category(df, "u", ["at", "id"], F.floor(F.col("at") / 25), fill.usable_text(F.col("name")), ["id"]).collect()
     assert {(r["id"], r["value"], r["filled"]) for r in got} == {(1, "a", True), (2, "a", False), (3, "a", True), (4, "b", False), (5, "b", True), (6, None, False), (8, "a", True)}
-    assert all(r["confidence"] >= 0.51 for r in got if r["filled"])
+    # no value repeats the one before: both names are as probable as their shares
+    assert all(r["confidence"] == 0.5 for r in got if r["filled"])
+
+
+def test_fill_category_takes_the_most_probable(spark):
+    steady = [("u", i, "a") for i in range(5)] + [("u", 5, None)] + [("u", i, "b") for i in range(6, 9)] + [("u", 9, "")]
+    wild = [("v", 2 * i + 1, "c" if i % 2 else f"x{i}") for i in range(20)] + [("v", 40, None)]
+    fitted = {}
+    for name, rows in (("steady", steady), ("wild", [*wild, ("v", 41, "y"), ("v", 42, None)])):
+        df = spark.createDataFrame(rows, "u string, id int, name string")
+        got = fill.fill_category(df, "u", ["id"], F.floor(F.col("id") / 4), fill.usable_text(F.col("name")), ["id"]).collect()
+        fitted[name] = {r["id"]: (r["value"], round(r["confidence"], 6)) for r in got if r["filled"]}
+    p = 6 / 7
+    assert fitted["steady"] == {5: ("a", round(p + (1 - p) * 5 / 8, 6)), 9: ("b", round(p + (1 - p) * 3 / 8, 6))}
+    assert fitted["wild"] == {40: ("c", round(10 / 21, 6)), 42: ("c", round(10 / 21, 6))}
 
 
 @pytest.mark.parametrize("forward", [True, False])
