@@ -68,7 +68,6 @@ class PrefixEncoder:
         self.tokens.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.whole: dict[str, bool] = {}
         self.split = regex.compile(PATTERN).findall
 
     @classmethod

@@ -212,7 +212,7 @@ class Scorer:
 def training_sample(df: DataFrame, ident: str, text: str, label: str, per_label: int, longest: int) -> list[tuple[str, str]]:
     """At most `per_label` documents per language with a usable label, of at most `longest` characters.
 
-    The choice is by hash of the text, so it doesn't depend on order or partitions. The ids
+    The choice is by hash of the text, so it doesn't depend on order or partitions; of equal texts one is taken. The ids
     are chosen by bounded heaps (per_label entries per language and map task); only their
     documents, a bounded number of bounded texts, come to the driver.
     """
@@ -221,8 +221,10 @@ def training_sample(df: DataFrame, ident: str, text: str, label: str, per_label:
     known = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     code = F.coalesce(known[code], code)
     usable = df.where(F.col(text).isNotNull() & (F.length(text) <= longest) & (F.length(F.trim(text)) > 0)).withColumn("_lang", code).where(F.col("_lang").isin(*LANGUAGES))
-    heap = InternalFunction.collect_top_k(F.struct(F.xxhash64(text).alias("h"), F.col(ident).alias("id")), per_label, True)
-    ids = usable.groupBy("_lang").agg(heap.alias("_top")).select("_lang", F.explode("_top.id").alias(ident))
+    # equal texts count once, so that copies of one text can't fill a language's places
+    once = usable.groupBy("_lang", F.xxhash64(text).alias("h")).agg(F.min(ident).alias("id"))
+    heap = InternalFunction.collect_top_k(F.struct("h", "id"), per_label, True)
+    ids = once.groupBy("_lang").agg(heap.alias("_top")).select("_lang", F.explode("_top.id").alias(ident))
     # at most len(LANGUAGES) * per_label rows
     chosen = usable.join(F.broadcast(ids), [ident, "_lang"], "left_semi").select(text, "_lang")
     return sorted((r[0], r[1]) for r in chosen.collect())
@@ -232,8 +234,9 @@ def assign_languages(df: DataFrame, ident: str, text: str, label: str, per_label
     """Language and confidence of each document (seg_no 0) and each of its paragraphs (1, 2, ...).
 
     Columns: ident, seg_no, lang, confidence, chars, label_lang (what the label names or
-    null), n_langs (languages in the document). A paragraph without words, or of which no
-    language is at least `least` probable (names alone), has a null lang; the document's
+    null), n_langs (languages in the document). A paragraph without words has a null lang, and so
+    has, unless the document holds two other languages for sure, one of which no language is
+    at least `least` probable (names alone); the document's
     language is the one with most characters, null if there is none, and its confidence
     the characters' mean of that language's paragraphs times their share. Null, empty and
     wordless texts give one row with null lang. The model is fitted on a bounded sample of
@@ -251,7 +254,10 @@ def assign_languages(df: DataFrame, ident: str, text: str, label: str, per_label
                 found = []
                 for p in paragraphs(t):
                     lang, sure = scorer.judge(units(p))
-                    found.append((lang if sure >= least else None, sure, len(p)))
+                    found.append((lang, sure, len(p)))
+                # beside two sure languages an unsure paragraph has words of its most probable one; otherwise it is of none
+                mixed = len({lang for lang, sure, _ in found if lang and sure >= least}) > 1
+                found = [(lang if mixed or sure >= least else None, sure, n) for lang, sure, n in found]
                 chars: dict[str, float] = {}
                 sums: dict[str, float] = {}
                 for lang, sure, n in found:

@@ -125,3 +125,10 @@ def test_forward_sums_every_segmentation():
 
         np.testing.assert_allclose(language.score_unit(pieces, model, unit), np.log(total(0)))
     assert np.isfinite(language.score_unit(pieces, model, "ab" * 5000)).all()
+
+
+def test_copies_of_a_text_fill_one_place_of_the_sample(spark):
+    rows = [(i, "the same words again and again", "en") for i in range(50)] + [(100 + i, f"other words number {i}", "en") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_sample(df, "doc_id", "text", "lang", 6, 1000)
+    assert len(got) == 6 and len({t for t, _ in got}) == 6
