@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def modules() -> list:
     """The query modules of the core."""
-    from . import analytics, formulas, more, performance, tables, training
+    from . import accounts, analytics, formulas, more, performance, tables, training
 
-    return [training, formulas, analytics, tables, performance, more]
+    return [accounts, training, formulas, analytics, tables, performance, more]
