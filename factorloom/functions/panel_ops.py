@@ -36,8 +36,9 @@ class Keys:
         return self.along.rowsBetween(Window.unboundedPreceding, 0)
 
     @property
-    def future(self) -> WindowSpec:
-        return self.along.rowsBetween(0, Window.unboundedFollowing)
+    def backward(self) -> WindowSpec:
+        """All rows of a ticker from its last back to this one: a frame to the end would be scanned anew for every row."""
+        return Window.partitionBy(self.ticker).orderBy(F.col(self.date).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
     @property
     def day(self) -> WindowSpec:
@@ -113,7 +114,7 @@ def ffill(k: Keys, x: str) -> Column:
 
 def bfill(k: Keys, x: str) -> Column:
     """The next value from here on."""
-    return F.first(F.col(x), ignorenulls=True).over(k.future)
+    return F.last(F.col(x), ignorenulls=True).over(k.backward)
 
 
 def ts_sum(k: Keys, x: str, n: int) -> Column:

@@ -38,5 +38,6 @@ def continuous_series(prices: DataFrame, contracts: DataFrame, offset_days: int
     s = s.join(other, ["root", "day", "_next"], "left")
     rolls = (F.col("_next") != F.col("contract")) & (F.col("close") > 0) & (F.col("_nc") > 0)
     s = s.withColumn("_step", F.when(rolls, F.ln(F.col("_nc") / F.col("close"))).otherwise(0.0) if adjust else F.lit(0.0))
-    scale = F.exp(F.sum("_step").over(along.rowsBetween(0, Window.unboundedFollowing)))
+    backward = Window.partitionBy("root").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    scale = F.exp(F.sum("_step").over(backward))
     return s.withColumn("adjusted", F.col("close") * scale).select("root", "day", "contract", "close", "adjusted")

@@ -100,7 +100,7 @@ def adjusted_close(prices: DataFrame, close: str, before: str, keys: Keys = Keys
     prev = F.last(F.when(F.col(close) > 0, F.col(close)), ignorenulls=True).over(keys.along.rowsBetween(Window.unboundedPreceding, -1))
     step = F.when((F.col(before) > 0) & (prev > 0), F.ln(F.col(before) / prev)).otherwise(0.0)
     t = prices.withColumn("_step", step)
-    later = F.coalesce(F.sum("_step").over(keys.along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    later = F.coalesce(F.sum("_step").over(keys.backward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return t.withColumn("adj_factor", F.exp(later)).withColumn("adj_close", F.col(close) * F.col("adj_factor")).drop("_step")
 
 
