@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def modules() -> list:
     """The query modules of the core."""
-    from . import accounts, analytics, formulas, more, performance, pipelines, tables, training
+    from . import accounts, analytics, catalog, formulas, more, performance, pipelines, tables, training
 
-    return [accounts, training, formulas, analytics, tables, performance, more, pipelines]
+    return [accounts, training, formulas, analytics, tables, performance, more, pipelines, catalog]

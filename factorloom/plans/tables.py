@@ -251,13 +251,32 @@ def rk_single_index(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n > 2 and v > 0").select("ticker", F.round(beta, 8).alias("beta"), F.round(F.col("a") - beta * F.col("b"), 8).alias("alpha"), F.round(F.greatest(F.col("s") - beta * F.col("c"), F.lit(0.0)), 6).alias("residual_variance"))
 
 
+def _industry_moments(spark: SparkSession, d: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Industries (at most risk.DENSE), their mean returns and the covariance over the dates on which all have one, by one fold of the vectors."""
+    r = panel(spark, d).where("industry is not null").groupBy("industry", "trade_date").agg((F.avg("pct_chg") / 100).alias("r")).where("r is not null")
+    names = sorted(x[0] for x in r.select("industry").distinct().limit(risk.DENSE + 1).collect())
+    by_name = F.transform(F.array_sort(F.collect_list(F.struct("industry", "r"))), lambda x: x["r"])
+    n, sums, g = risk.gram(r.groupBy("trade_date").agg(by_name.alias("v")), "v", len(names))
+    mean = sums / max(n, 1)
+    return names, mean, g / max(n, 1) - np.outer(mean, mean)
+
+
+def _weights(spark: SparkSession, names: list[str], w: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, float(np.round(v, 6))) for i, v in zip(names, w, strict=True)], "industry string, weight double")
+
+
 def rk_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Least-variance weights of the industries on a shrunken covariance (the industries are few, so the matrix is)."""
-    r = panel(spark, d).where("industry is not null").groupBy("industry", "trade_date").agg((F.avg("pct_chg") / 100).alias("r"))
-    wide = r.toPandas().pivot(index="trade_date", columns="industry", values="r").sort_index().sort_index(axis=1).dropna()
-    x = wide.to_numpy()
-    w = risk.optimise(x.mean(0), risk.shrink(x, "lw"))
-    return spark.createDataFrame([(str(i), float(np.round(v, 6))) for i, v in zip(wide.columns, w, strict=True)], "industry string, weight double")
+    """Least-variance weights of the industries (the covariance half shrunk to equal variances)."""
+    names, mean, cov = _industry_moments(spark, d)
+    shrunk = 0.5 * cov + 0.5 * np.eye(len(names)) * np.trace(cov) / len(names)
+    return _weights(spark, names, risk.optimise(mean, shrunk))
+
+
+def rk_long_short(spark: SparkSession, d: str) -> DataFrame:
+    """The same with short positions allowed."""
+    names, mean, cov = _industry_moments(spark, d)
+    shrunk = 0.5 * cov + 0.5 * np.eye(len(names)) * np.trace(cov) / len(names)
+    return _weights(spark, names, risk.optimise(mean, shrunk, bounds=(-1.0, 1.0)))
 
 
 def bt_top_k(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +320,7 @@ def t_factor_ic_store(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     t_scan_filter, t_equi_join, t_semi_join, t_anti_join, t_asof_backward, t_asof_forward, t_resample_days, t_resample_rows, t_resample_month, t_resample_week, t_bars_from_ticks, stream_bars, t_next_session, t_previous_sessions, t_business_days,
     t_runs, t_screen, t_industry_statistics, t_upsert, t_upsert_all, t_lifecycle_latest, t_status_pivot, t_status_pivot_all, pl_demean_group, pl_zscore, pl_ranks, pl_quartiles, pl_top_bottom, pl_percentile_between, pl_latest_sma_peers, pl_classifier_tests,
-    rk_covariance, rk_single_index, rk_weights, bt_top_k, bt_holdings, t_sliding_window_counts, t_json_extract, t_factor_ic_store,
+    rk_covariance, rk_single_index, rk_weights, rk_long_short, bt_top_k, bt_holdings, t_sliding_window_counts, t_json_extract, t_factor_ic_store,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
