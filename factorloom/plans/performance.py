@@ -78,7 +78,7 @@ def pf_rolling_regression(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of the close on open and volume over ten rows."""
     t = panel(spark, d).withColumn("v", F.col("volume") / 1e6).select("ticker", "trade_date", "close", "open", "v")
     r = pf.rolling_regression(t, "close", ["open", "v"], 10, "coef")
-    return _out(r.select("ticker", "trade_date", *[F.col("coef")[i].alias(n) for i, n in enumerate(("alpha", "beta_open", "beta_volume"))]), alpha=4, beta_open=4, beta_volume=4)
+    return _out(r.select("ticker", "trade_date", *[F.col("coef")[i].alias(n) for i, n in enumerate(("alpha", "beta_open", "beta_volume"))]), alpha=2, beta_open=2, beta_volume=2)
 
 
 def pf_rolling_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -116,4 +116,8 @@ ORACLES = {
     "pf_adjusted_close": f"with {_HELD}, a as (select *, last_value(case when close > 0 then close end ignore nulls) over (partition by ticker order by trade_date rows between unbounded preceding and 1 preceding) as prev from held), b as (select *, case when pre_close > 0 and prev > 0 then ln(pre_close / prev) else 0 end as step from a), c as (select *, exp(coalesce(sum(step) over (partition by ticker order by trade_date rows between 1 following and unbounded following), 0)) as f from b) select ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(f, 5) as adj_factor, round(close * f, 3) as adj_close from c",
     "pf_trade_status": f"with {_HELD} select ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, coalesce(volume <= 0, true) or coalesce(round(close, 2) >= round(pre_close * 1.1, 2), false) as no_buy, coalesce(volume <= 0, true) or coalesce(round(close, 2) <= round(pre_close * 0.9, 2), false) as no_sell, round(close * 1.001, 5) as buy_price from held",
     "pf_rolling_apply": f"with {PANEL_SQL} select ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(case when count(close) over w >= 20 then (max(close) over w + min(close) over w) / 2 end, 6) as value from p window w as (partition by ticker order by trade_date rows between 19 preceding and current row)",
+    "pf_rolling_regression": f"""with {PANEL_SQL}, q as (select ticker, trade_date, case when o0 then close end as y, case when o0 then open end as a, case when o0 then volume / 1e6 end as b, o0 from (select *, close is not null and open is not null and volume is not null as o0 from p)),
+      m as (select ticker, trade_date, count(*) over w as rows, count(y) over w as k, avg(y) over w as my, avg(a) over w as ma, avg(b) over w as mb, var_pop(a) over w as va, var_pop(b) over w as vb, covar_pop(a, b) over w as ab, covar_pop(y, a) over w as ya, covar_pop(y, b) over w as yb from q window w as (partition by ticker order by trade_date rows between 9 preceding and current row)),
+      c as (select *, case when rows = 10 and k >= 3 and va * vb - ab * ab > 1e-12 / pow(k, 3) then (ya * vb - yb * ab) / (va * vb - ab * ab) end as ba, case when rows = 10 and k >= 3 and va * vb - ab * ab > 1e-12 / pow(k, 3) then (yb * va - ya * ab) / (va * vb - ab * ab) end as bb from m)
+      select ticker, strftime(trade_date, '%Y-%m-%d') as trade_day, round(my - ba * ma - bb * mb, 2) as alpha, round(ba, 2) as beta_open, round(bb, 2) as beta_volume from c""",
 }

@@ -108,4 +108,31 @@ q as (select *, greatest(least(q0, 1 - 1e-6), 1e-6) as q from r), t as (select *
 select ticker, trade_date, case when q0 is null then close when q between 0.02425 and 1 - 0.02425 then
     (q - 0.5) * (((((-39.69683028665376 * s + 220.9460984245205) * s - 275.9285104469687) * s + 138.357751867269) * s - 30.66479806614716) * s + 2.506628277459239) / (((((-54.47609879822406 * s + 161.5858368580409) * s - 155.6989798598866) * s + 66.80131188771972) * s - 13.28068155288572) * s + 1)
   else (case when q < 0.5 then 1 else -1 end) * (((((-0.007784894002430293 * t - 0.3223964580411365) * t - 2.400758277161838) * t - 2.549732539343734) * t + 4.374664141464968) * t + 2.938163982698783) / ((((0.007784695709041462 * t + 0.3224671290700398) * t + 2.445134137142996) * t + 3.754408661907416) * t + 1) end as value from t""",
+    "ind_renko": f"""k as (select ticker, trade_date, close as v, row_number() over {P} as i from p where close is not null),
+r(ticker, i, level) as (select ticker, i, v from k where i = 1 union all select k.ticker, k.i, r.level + trunc(k.v - r.level) from r join k on k.ticker = r.ticker and k.i = r.i + 1)
+select p.ticker, p.trade_date, r.level as value from p left join k {_JOIN} left join r on r.ticker = k.ticker and r.i = k.i""",
+    "ind_laguerre": f"""k as (select ticker, trade_date, close as v, row_number() over {P} as i from p where close is not null),
+r(ticker, i, a, b, c, d) as (select ticker, i, v, v, v, v from k where i = 1 union all
+  select ticker, i, na, nb, nc, -0.5 * nc + c + 0.5 * d from (select ticker, i, na, nb, -0.5 * nb + b + 0.5 * c as nc, c, d from (select ticker, i, na, -0.5 * na + a + 0.5 * b as nb, b, c, d from (select k.ticker, k.i, 0.5 * k.v + 0.5 * r.a as na, r.a, r.b, r.c, r.d from r join k on k.ticker = r.ticker and k.i = r.i + 1))))
+select p.ticker, p.trade_date, (r.a + 2 * r.b + 2 * r.c + r.d) / 6 * 0.7310585786 as value from p left join k {_JOIN} left join r on r.ticker = k.ticker and r.i = k.i""",
+    "sig_stop_exit": f"""k as (select ticker, trade_date, close as v, row_number() over {P} as i from p where close is not null),
+r(ticker, i, ref, hit) as (select ticker, i, v, 0 from k where i = 1 union all
+  select k.ticker, k.i, case when r.ref is null then k.v when k.v <= r.ref * 0.9 then null else greatest(r.ref, k.v) end, case when r.ref is not null and k.v <= r.ref * 0.9 then 1 else 0 end from r join k on k.ticker = r.ticker and k.i = r.i + 1)
+select p.ticker, p.trade_date, coalesce(r.hit, 0) as value from p left join k {_JOIN} left join r on r.ticker = k.ticker and r.i = k.i""",
+    "ind_kama": f"""k as (select ticker, trade_date, close as v, row_number() over {P} as i, abs(close - lag(close, 10) over {P}) as far, abs(close - lag(close) over {P}) as step from p where close is not null),
+w as (select ticker, trade_date, v, i, pow(coalesce(far / nullif(case when count(step) over (partition by ticker order by i rows between 9 preceding and current row) = 10 then sum(step) over (partition by ticker order by i rows between 9 preceding and current row) end, 0), 0) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) as w from k),
+s as (select ticker, avg(v) as e from w where i <= 10 group by ticker having count(*) = 10),
+r(ticker, i, e) as (select ticker, cast(10 as bigint), e from s union all select w.ticker, w.i, r.e + w.w * (w.v - r.e) from r join w on w.ticker = r.ticker and w.i = r.i + 1)
+select p.ticker, p.trade_date, r.e as value from p left join k {_JOIN} left join r on r.ticker = k.ticker and r.i = k.i""",
+    "ind_adx": f"""k as (select ticker, trade_date, high, low, high - lag(high) over {P} as up, lag(low) over {P} - low as dn, lag(close) over {P} as c1 from p where high is not null and low is not null and close is not null),
+m as (select ticker, trade_date, case when c1 is not null then case when up > dn and up > 0 then up else 0 end end as plus, case when c1 is not null then case when dn > up and dn > 0 then dn else 0 end end as minus, case when c1 is not null then greatest(high - low, abs(high - c1), abs(low - c1)) end as tr from k),
+{smoothed('sp', 'm', 14, 1 / 14, 'plus')}, {smoothed('sm', 'm', 14, 1 / 14, 'minus')}, {smoothed('st', 'm', 14, 1 / 14, 'tr')},
+dx as (select k.ticker, k.trade_date, case when a.x + b.x > 0 then 100 * abs(a.x - b.x) / (a.x + b.x) when c.x is not null then 0 end as x from k join sp a {_JOIN} join sm b {_JOIN} join st c {_JOIN}), {smoothed('ax', 'dx', 14, 1 / 14)}
+select ticker, trade_date, x as value from ax""",
+    "ind_supertrend": f"""k as (select ticker, trade_date, (high + low) / 2 as mid, close as c, row_number() over {P} as i, greatest(high - low, coalesce(abs(high - lag(close) over {P}), 0), coalesce(abs(low - lag(close) over {P}), 0)) as tr from p where high is not null and low is not null and close is not null),
+{smoothed('ar', 'k', 10, 1 / 10, 'tr')}, q as (select k.ticker, k.trade_date, k.i, c, mid + 3 * x as u, mid - 3 * x as d, lag(c) over (partition by k.ticker order by k.i) as before from k join ar {_JOIN} where x is not null),
+z as (select *, row_number() over (partition by ticker order by i) as j from q),
+r(ticker, j, up, low, rising) as (select ticker, j, u, d, c >= d from z where j = 1 union all
+  select ticker, j, up, low, case when was then c >= low else c > up end from (select z.ticker, z.j, z.c, r.rising as was, case when z.u < r.up or z.before > r.up then z.u else r.up end as up, case when z.d > r.low or z.before < r.low then z.d else r.low end as low from r join z on z.ticker = r.ticker and z.j = r.j + 1))
+select p.ticker, p.trade_date, case when rising then low else up end as value from p left join z {_JOIN} left join r on r.ticker = z.ticker and r.j = z.j""".replace("case when rising then low else up end", "case when r.rising then r.low else r.up end"),
 }

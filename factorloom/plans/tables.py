@@ -40,8 +40,8 @@ def t_semi_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Customers without an order."""
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
+    """Customers without an urgent order."""
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
@@ -334,7 +334,7 @@ ORACLES = {
     "t_scan_filter": "select o_orderkey, o_custkey, round(o_totalprice, 2) as o_totalprice from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderdate between timestamp '1996-01-01' and timestamp '1997-12-31'",
     "t_equi_join": "select r_name, n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
     "t_semi_join": "select c_custkey, c_name from customer where c_custkey in (select user_id from events)",
-    "t_anti_join": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "t_anti_join": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')",
     "t_asof_backward": "with f as (select distinct ticker, trade_date from stock_fundamental), i as (select ticker, f_ann_date, max(cast(end_date as date)) as e from stock_income where f_ann_date is not null and ticker is not null group by 1, 2) select f.ticker, strftime(f.trade_date, '%Y-%m-%d') as trade_day, strftime(e, '%Y-%m-%d') as end_day from f asof left join i on f.ticker = i.ticker and f.trade_date >= i.f_ann_date",
     "t_asof_forward": "with f as (select distinct ticker, trade_date from stock_fundamental), i as (select distinct ticker, f_ann_date from stock_income where f_ann_date is not null and ticker is not null) select f.ticker, strftime(f.trade_date, '%Y-%m-%d') as trade_day, strftime(i.f_ann_date, '%Y-%m-%d') as next_ann from f asof left join i on f.ticker = i.ticker and f.trade_date <= i.f_ann_date",
     "t_resample_days": f"with {PANEL_SQL}, x as (select *, min(trade_date) over () as lo, max(trade_date) over () as hi from p), b as (select *, (trade_date - lo) // 10 as k from x) select ticker, strftime(lo + cast((k + 1) * 10 - 1 as integer), '%Y-%m-%d') as trade_day, round(avg(close), 6) as close, count(close) as n from b where lo + cast((k + 1) * 10 - 1 as integer) <= hi group by ticker, lo, k",
@@ -342,6 +342,9 @@ ORACLES = {
     "t_resample_month": f"with {PANEL_SQL} select ticker, strftime(date_trunc('month', trade_date), '%Y-%m-%d') as trade_day, {_BAR} from p group by 1, 2",
     "t_resample_week": f"with {PANEL_SQL} select ticker, strftime(date_trunc('week', trade_date), '%Y-%m-%d') as trade_day, {_BAR} from p group by 1, 2",
     "t_bars_from_ticks": _TICKS,
+    "stream_bars": _TICKS,
+    "t_upsert_all": "with held as (select factor_name, ticker, trade_date, case when isnan(factor_value) then null else factor_value end as v from factor_values where factor_name is not null and ticker is not null and trade_date is not null qualify row_number() over (partition by factor_name, ticker, trade_date order by written_at desc nulls last) = 1), w as (select factor_name, ticker, count(v) as n, first(v order by trade_date) as a, last(v order by trade_date) as b from held group by 1, 2) select factor_name, ticker, coalesce(b, a) as score, n from w",
+    "t_status_pivot_all": "select coalesce(category, 'none') as category, count(*) filter (status = 'development') as development, count(*) filter (status = 'testing') as testing, count(*) filter (status = 'active') as active, count(*) filter (status = 'deprecated') as deprecated, count(*) filter (coalesce(status not in ('development', 'testing', 'active', 'deprecated'), true)) as other from factor_lifecycle group by 1",
     "t_next_session": f"with {_SESS} select s.exchange, strftime(day, '%Y-%m-%d') as day, strftime(shifted, '%Y-%m-%d') as next_session from s left join o on s.exchange = o.exchange and o.n = s.n + 1",
     "t_previous_sessions": f"with {_SESS} select s.exchange, strftime(day, '%Y-%m-%d') as day, strftime(shifted, '%Y-%m-%d') as session from s left join o on s.exchange = o.exchange and o.n = s.n - 5 where is_open = 1",
     "t_business_days": "with t as (select distinct ticker, cast(end_date as date) as a, cast(f_ann_date as date) as b from stock_income where f_ann_date is not null and end_date is not null), n as (select *, (select count(*) from range(0, cast(abs(b - a) as bigint)) r(k) where dayofweek(least(a, b) + cast(k as integer)) between 1 and 5) as w from t) select ticker, strftime(a, '%Y-%m-%d') as end_day, strftime(b, '%Y-%m-%d') as ann_day, cast(case when b >= a then w else -w end as integer) as weekdays from n",
