@@ -6,6 +6,8 @@ windows of non-null values are needed unless said otherwise; warm-up rows are NU
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -240,6 +242,105 @@ def rolling_sum_wide(k: Keys, x: str, n: int) -> Column:
     return F.when(cnt - seen >= n, run - F.coalesce(older, F.lit(0.0)))
 
 
-ONE = ("wma", "ts_stddev_pop", "ts_max_drawdown", "ts_share_below", "ts_poly_trend", "ts_poly_deviation", "bollinger_upper", "bollinger_lower", "bollinger_percent", "rolling_zscore", "roc", "log_return", "mean_deviation", "cci", "aroon_up", "aroon_down", "cumulative", "expanding_max", "expanding_min", "drawdown", "future_max", "future_min", "future_mean", "future_std", "fixed_label", "ts_quantile", "ts_skew", "ts_count", "rolling_sum_wide")
-TWO = ("signed_volume", "crossed_above", "crossed_below")
+def ts_any(k: Keys, x: str, n: int) -> Column:
+    """1 if one of the window's values is not 0; full window of known values needed."""
+    w = k.last(n)
+    return F.when(F.count(F.col(x)).over(w) >= n, F.max((F.col(x) != 0).cast("double")).over(w))
+
+
+def ts_all(k: Keys, x: str, n: int) -> Column:
+    """1 if none of the window's values is 0."""
+    w = k.last(n)
+    return F.when(F.count(F.col(x)).over(w) >= n, F.min((F.col(x) != 0).cast("double")).over(w))
+
+
+def _back(k: Keys, x: str, n: int, pick: Callable[[Column], Column], newest: bool) -> Column:
+    """Rows back to the newest (or oldest) place of a window's extreme value."""
+    arr = F.collect_list(F.col(x)).over(k.last(n))
+    at = F.array_position(F.reverse(arr), pick(arr)) - 1 if newest else n - F.array_position(arr, pick(arr))
+    return F.when(F.size(arr) >= n, at.cast("double"))
+
+
+def since_highest(k: Keys, x: str, n: int) -> Column:
+    """Rows since the window's highest value, the newest of equals."""
+    return _back(k, x, n, F.array_max, True)
+
+
+def since_lowest(k: Keys, x: str, n: int) -> Column:
+    return _back(k, x, n, F.array_min, True)
+
+
+def since_first_highest(k: Keys, x: str, n: int) -> Column:
+    """Rows since the window's highest value, the oldest of equals."""
+    return _back(k, x, n, F.array_max, False)
+
+
+def since_first_lowest(k: Keys, x: str, n: int) -> Column:
+    return _back(k, x, n, F.array_min, False)
+
+
+def ts_argmin(k: Keys, x: str, n: int) -> Column:
+    """Position (0 = oldest) of the first least value of a full window."""
+    arr = F.collect_list(F.col(x)).over(k.last(n))
+    return F.when(F.size(arr) >= n, (F.array_position(arr, F.array_min(arr)) - 1).cast("double"))
+
+
+def ts_median(k: Keys, x: str, n: int) -> Column:
+    return ts_quantile(k, x, n, 0.5)
+
+
+def ts_kurt(k: Keys, x: str, n: int) -> Column:
+    """Excess kurtosis (population moments) of a full window; NULL where constant."""
+    w = k.last(n)
+    return F.when((F.count(F.col(x)).over(w) >= n) & (F.var_pop(F.col(x)).over(w) > 1e-18), F.kurtosis(F.col(x)).over(w))
+
+
+def partial_mean(k: Keys, x: str, n: int, least: int = 1) -> Column:
+    """Mean of the window's known values, of which there must be `least`."""
+    w = k.last(n)
+    return F.when(F.count(F.col(x)).over(w) >= least, F.avg(F.col(x)).over(w))
+
+
+def partial_std(k: Keys, x: str, n: int, least: int = 1, ddof: int = 0) -> Column:
+    """Deviation of the window's known values, of which there must be `least` and more than ddof (0 or 1)."""
+    w = k.last(n)
+    agg = F.stddev_samp if ddof else F.stddev_pop
+    return F.when(F.count(F.col(x)).over(w) >= max(least, ddof + 1), agg(F.col(x)).over(w))
+
+
+def expanding_mean(k: Keys, x: str, least: int = 1) -> Column:
+    return F.when(F.count(F.col(x)).over(k.past) >= least, F.avg(F.col(x)).over(k.past))
+
+
+def expanding_std(k: Keys, x: str, least: int = 1) -> Column:
+    """Population deviation of all known values so far."""
+    return F.when(F.count(F.col(x)).over(k.past) >= least, F.stddev_pop(F.col(x)).over(k.past))
+
+
+def rebase(k: Keys, x: str, base: float = 100.0) -> Column:
+    """Values as multiples of the ticker's first known one, times a base."""
+    return div(F.col(x), F.first(F.col(x), ignorenulls=True).over(k.past)) * F.lit(float(base))
+
+
+def nonzero_difference(k: Keys, x: str, y: str) -> Column:
+    """x - y, or, where that is 0, the last difference that was not."""
+    d = F.col(x) - F.col(y)
+    return F.last(F.when(d != 0, d), ignorenulls=True).over(k.past)
+
+
+def cross_over(k: Keys, x: str, y: str) -> Column:
+    """1 where x rises over y, -1 where it falls below: against the side of the last row on which they differed; else 0."""
+    d = F.col(x) - F.col(y)
+    before = F.last(F.when(d != 0, d), ignorenulls=True).over(k.along.rowsBetween(Window.unboundedPreceding, -1))
+    return F.when((before < 0) & (d > 0), 1.0).when((before > 0) & (d < 0), -1.0).otherwise(0.0)
+
+
+def mean_label(k: Keys, x: str, n: int, wait: int = 1) -> Column:
+    """Change to the mean of the n rows that begin `wait` rows on, as a share."""
+    w = k.along.rowsBetween(wait, wait + n - 1)
+    return F.when(F.count(F.col(x)).over(w) >= n, div(F.avg(F.col(x)).over(w), F.col(x)) - 1)
+
+
+ONE = ("wma", "ts_stddev_pop", "ts_max_drawdown", "ts_share_below", "ts_poly_trend", "ts_poly_deviation", "bollinger_upper", "bollinger_lower", "bollinger_percent", "rolling_zscore", "roc", "log_return", "mean_deviation", "cci", "aroon_up", "aroon_down", "cumulative", "expanding_max", "expanding_min", "drawdown", "future_max", "future_min", "future_mean", "future_std", "fixed_label", "ts_quantile", "ts_skew", "ts_count", "rolling_sum_wide", "ts_any", "ts_all", "since_highest", "since_lowest", "since_first_highest", "since_first_lowest", "ts_argmin", "ts_median", "ts_kurt", "partial_mean", "partial_std", "expanding_mean", "expanding_std", "rebase", "mean_label")
+TWO = ("signed_volume", "crossed_above", "crossed_below", "nonzero_difference", "cross_over")
 THREE = ("stoch_k", "williams_r", "true_range", "log_true_range")

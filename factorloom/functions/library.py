@@ -112,4 +112,13 @@ LIBRARY: dict[str, tuple[tuple[tuple[str, float | None], ...], str]] = {
     "trix_signal": ((("X", None), ("N", 15), ("Q", 9)), "ema(trix(X, N), Q)"),
     "stochastic_rsi": ((("X", None), ("N", 14), ("M", 14)), "100 * (rsi(X, N) - ts_min(rsi(X, N), M)) / (ts_max(rsi(X, N), M) - ts_min(rsi(X, N), M))"),
     "sortino_population": ((("X", None), ("N", 20)), f"ts_mean({R}, N) / ts_stddev_pop({R}, N) * sqrt(N)"),
+    "demark_pivot": ((("O", None), ("H", None), ("L", None), ("C", None)), "(delay(C, 1) < delay(O, 1) ? delay(H, 1) + 2 * delay(L, 1) + delay(C, 1) : delay(C, 1) > delay(O, 1) ? 2 * delay(H, 1) + delay(L, 1) + delay(C, 1) : delay(H, 1) + delay(L, 1) + 2 * delay(C, 1)) / 4"),
+    "fibonacci_s1": ((("H", None), ("L", None), ("C", None)), "(delay(H, 1) + delay(L, 1) + delay(C, 1)) / 3 - 0.382 * (delay(H, 1) - delay(L, 1))"),
+    "pivot_r2": ((("H", None), ("L", None), ("C", None)), "(delay(H, 1) + delay(L, 1) + delay(C, 1)) / 3 + delay(H, 1) - delay(L, 1)"),
+    "pivot_s2": ((("H", None), ("L", None), ("C", None)), "(delay(H, 1) + delay(L, 1) + delay(C, 1)) / 3 - (delay(H, 1) - delay(L, 1))"),
+    "information_ratio_rolling": ((("X", None), ("Y", None), ("N", 20)), "ts_mean(pct_change(X, 1) - pct_change(Y, 1), N) / ts_stddev(pct_change(X, 1) - pct_change(Y, 1), N)"),
+    "rolling_beta": ((("X", None), ("Y", None), ("N", 20)), "ts_cov(pct_change(X, 1), pct_change(Y, 1), N) / ts_cov(pct_change(Y, 1), pct_change(Y, 1), N)"),
+    "rolling_calmar": ((("X", None), ("N", 20)), "(power(ts_prod(1 + pct_change(X, 1), N), 252 / N) - 1) / abs(ts_max_drawdown(X, N))"),
+    "rolling_tail_ratio": ((("X", None), ("N", 40)), "abs(ts_quantile(pct_change(X, 1), N, 0.95)) / abs(ts_quantile(pct_change(X, 1), N, 0.05))"),
+    "rolling_value_at_risk": ((("X", None), ("N", 40)), "ts_quantile(pct_change(X, 1), N, 0.05)"),
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.panel_ops import Keys, ts_mean
 from ..operators import evaluation as ev
+from ..operators import performance as pf
 from ..operators import portfolio as pt
+from ..operators import records as rc
 from ..operators import signals as sg
 from ..operators import splits as sp
 from ..operators.analytics import average_rank
@@ -210,9 +212,61 @@ def ev_rank_of_returns(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(r.select("ticker", "total", "place", (F.col("place") / F.count(F.lit(1)).over(Window.partitionBy("_all"))).alias("share")))
 
 
+def rc_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Reductions of each ticker's changes as sparse records."""
+    return _rounded(rc.reduce_records(rc.to_records(panel(spark, d), "ticker", "trade_date", "pct_chg"), "ticker", "trade_date", "pct_chg"))
+
+
+def rc_best(spark: SparkSession, d: str) -> DataFrame:
+    """The three largest and three smallest changes of each ticker."""
+    r = rc.to_records(panel(spark, d), "ticker", "trade_date", "pct_chg")
+    big, small = (rc.best_records(r, "ticker", "trade_date", "pct_chg", 3, k).select("ticker", "rank_no", "trade_date", "pct_chg", F.lit(k).alias("largest")) for k in (True, False))
+    return _rounded(big.unionByName(small))
+
+
+def rc_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each ticker rose, fell and stood still."""
+    r = rc.to_records(panel(spark, d), "ticker", "trade_date", "pct_chg")
+    return _rounded(rc.value_counts(r, "ticker", F.signum("pct_chg").cast("int")))
+
+
+def rc_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Each ticker's first four changes side by side, its second and its last."""
+    r = rc.to_records(panel(spark, d), "ticker", "trade_date", "pct_chg")
+    second, last = (rc.nth_record(r, "ticker", "trade_date", n).select("ticker", F.col("pct_chg").alias(k)) for n, k in ((1, "second"), (-1, "last")))
+    return _rounded(rc.stack_records(r, "ticker", "trade_date", "pct_chg", 4).join(second, "ticker").join(last, "ticker"))
+
+
+def az_vwr(spark: SparkSession, d: str) -> DataFrame:
+    """Variability-weighted return of each ticker, and its monthly returns."""
+    t = panel(spark, d)
+    v = rc.variability_weighted_return(t, "ticker", "trade_date", "close", sigma_max=2.0).select("ticker", "annual_log_return", "strayed")
+    return _rounded(v.join(rc.period_statistics(t, "ticker", "trade_date", "close", "month"), "ticker"), 5)
+
+
+def az_excursions(spark: SparkSession, d: str) -> DataFrame:
+    """The best and worst each round trip of the crossing stood at."""
+    t = _crossing(spark, d)
+    trips = pf.trades(t, F.col("up"), F.col("down"))
+    return _rounded(rc.trade_excursions(trips, t.where("close > 0"), "ticker", "trade_date", "high", "low").select("ticker", "entry_day", "exit_day", "mfe", "mae"))
+
+
+def az_account(spark: SparkSession, d: str) -> DataFrame:
+    """Key figures of the given-amount accounts against the universe's mean change, and their last leverage."""
+    v = pt.account_values(_orders(spark, d), panel(spark, d).withColumn("account", F.col("ticker")), "account", "trade_date", "ticker", "close", 20_000.0)
+    b = panel(spark, d).groupBy("trade_date").agg((F.avg("pct_chg") / 100).alias("r"))
+    lev = rc.leverage(v, "account", "trade_date").groupBy("account").agg(F.max_by("leverage", "trade_date").alias("leverage"))
+    return _rounded(rc.account_metrics(v, "account", "trade_date", "value", b).join(lev, "account").withColumnRenamed("account", "ticker"), 5)
+
+
+def pt_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Signed amounts and values of the given-amount orders."""
+    return _rounded(rc.transactions(_orders(spark, d), "account", "trade_date", "ticker").drop("account"), 8)
+
+
 _ALL = (
     pt_orders, pt_values, pt_holding, pt_signal_orders, pt_trades, pt_positions, pt_order_statistics, pt_stops, pt_execution, sg_clean, sg_ranks, sg_ranges, sg_partitions, sg_coverage, sg_mask, sg_first_exits, sg_crossed_wait, sg_random,
-    sp_rolling, sp_expanding, sp_walk_forward, ev_profits, ev_equity, ev_describe, ev_bootstrap, ev_rank_of_returns,
+    sp_rolling, sp_expanding, sp_walk_forward, ev_profits, ev_equity, ev_describe, ev_bootstrap, ev_rank_of_returns, rc_reduce, rc_best, rc_counts, rc_stack, az_vwr, az_excursions, az_account, pt_transactions,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -277,4 +331,18 @@ ORACLES = {
       select g.ticker, round(mdd, 6) as max_drawdown, round(100 * mddp, 6) as max_drawdown_percent, round(r2, 6) as r_squared, round(ulcer, 6) as ulcer, round(iqr, 6) as iqr, round(100 * (grown - 1), 6) as total_return_percent, round(100 * (pow(grown, 252.0 / n) - 1), 6) as annual_return_percent, round(m / case when s > 1e-12 then s end, 6) as sharpe, round(m / case when sd > 1e-12 then sd end, 6) as sortino, round(m * 252 / nullif(abs(mddp), 0), 4) as calmar, round(entropy, 6) as entropy from g join h using (ticker)""",
     "ev_describe": f"with {PANEL_SQL} select ticker, count(pct_chg) as count, round(avg(pct_chg), 6) as mean, round(stddev_samp(pct_chg), 6) as std, round(min(pct_chg), 6) as min, round(quantile_cont(pct_chg, 0.25), 6) as p25, round(quantile_cont(pct_chg, 0.5), 6) as p50, round(quantile_cont(pct_chg, 0.75), 6) as p75, round(max(pct_chg), 6) as max from p group by ticker",
     "ev_rank_of_returns": f"with {PANEL_SQL}, t as (select ticker, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 as total from p where close > 0 group by 1), r as (select *, rank() over (order by total) + (count(*) over (partition by total) - 1) / 2 as place from t) select ticker, round(total, 6) as total, round(place, 6) as place, round(place / count(*) over (), 6) as share from r",
+    "rc_reduce": f"with {PANEL_SQL}, t as (select * from p where pct_chg is not null) select ticker, count(*) as n, round(sum(pct_chg), 6) as total, round(avg(pct_chg), 6) as mean, round(stddev_samp(pct_chg), 6) as std, round(stddev_pop(pct_chg), 6) as std_pop, round(min(pct_chg), 6) as least, round(max(pct_chg), 6) as greatest, strftime(arg_min(trade_date, (pct_chg, trade_date)), '%Y-%m-%d') as least_at, strftime(arg_min(trade_date, (-pct_chg, trade_date)), '%Y-%m-%d') as greatest_at, round(arg_min(pct_chg, trade_date), 6) as first_value, round(arg_max(pct_chg, trade_date), 6) as last_value, round(quantile_cont(pct_chg, 0.25), 6) as p25, round(quantile_cont(pct_chg, 0.5), 6) as p50, round(quantile_cont(pct_chg, 0.75), 6) as p75 from t group by ticker",
+    "rc_best": f"with {PANEL_SQL}, t as (select * from p where pct_chg is not null), r as (select *, row_number() over (partition by ticker order by pct_chg desc, trade_date) as a, row_number() over (partition by ticker order by pct_chg, trade_date) as b from t) select ticker, cast(a as integer) as rank_no, {_D}, round(pct_chg, 6) as pct_chg, true as largest from r where a <= 3 union all select ticker, cast(b as integer), {_D}, round(pct_chg, 6), false from r where b <= 3",
+    "rc_counts": f"with {PANEL_SQL}, g as (select ticker, cast(sign(pct_chg) as integer) as value, count(*) as n from p where pct_chg is not null group by 1, 2) select ticker, value, n, round(n / sum(n) over (partition by ticker), 6) as share, cast(row_number() over (partition by ticker order by n desc, value) as integer) as rank_no from g",
+    "rc_stack": f"with {PANEL_SQL}, t as (select ticker, round(pct_chg, 6) as x, row_number() over {_W} as i, count(*) over (partition by ticker) as n from p where pct_chg is not null) select ticker, max(x) filter (i = 1) as v0, max(x) filter (i = 2) as v1, max(x) filter (i = 3) as v2, max(x) filter (i = 4) as v3, max(x) filter (i = 2) as second, max(x) filter (i = n) as last from t group by ticker",
+    "az_vwr": f"""with {PANEL_SQL}, t as (select ticker, trade_date, close as v, row_number() over {_W} - 1 as i, first_value(close) over {_W} as f, count(*) over (partition by ticker) as n from p where close > 0), l as (select ticker, ln(arg_max(v, trade_date) / any_value(f)) / (count(*) - 1) as r from t group by 1 having count(*) >= 3),
+      s as (select t.ticker, any_value(l.r) * 252 as alr, stddev_samp(v / (f * exp(l.r * i)) - 1) as sd from t join l on t.ticker = l.ticker group by 1), e as (select ticker, date_trunc('month', trade_date) as m, arg_max(v, trade_date) as v, arg_min(v, trade_date) as o from t group by 1, 2), q as (select ticker, v / coalesce(lag(v) over (partition by ticker order by m), o) - 1 as x from e)
+      select s.ticker, round(any_value(alr), 5) as annual_log_return, round(any_value(sd), 5) as strayed, round(avg(x), 5) as mean, round(stddev_pop(x), 5) as std, count(*) filter (x > 0) as positive, count(*) filter (x < 0) as negative, count(*) filter (x = 0) as zero, round(max(x), 5) as best, round(min(x), 5) as worst from s join q on q.ticker = s.ticker group by 1""",
+    "az_excursions": f"{_SIG}, tr as (select ticker, (n + 1) // 2 as k, max(trade_date) filter (s = 1) as a, max(trade_date) filter (s = -1) as b, max(close) filter (s = 1) as e from u group by 1, 2) select tr.ticker, strftime(a, '%Y-%m-%d') as entry_day, strftime(b, '%Y-%m-%d') as exit_day, round(max(high) / any_value(e) - 1, 6) as mfe, round(min(low) / any_value(e) - 1, 6) as mae from tr join p on p.ticker = tr.ticker and p.close > 0 and p.trade_date between a and b where b is not null group by 1, 2, 3",
+    "az_account": f"""{_ORD}, v as (select p.ticker, p.trade_date, last_value(case when close > 0 then close end ignore nulls) over {_PAST.replace('ticker', 'p.ticker').replace('trade_date', 'p.trade_date')} as known, coalesce(side * size, 0) as q, coalesce(-side * size * price - fees, 0) as cf from p left join ord on p.ticker = ord.ticker and p.trade_date = ord.trade_date),
+      s as (select ticker, trade_date, coalesce(known, 0) * sum(q) over {_PAST} as av, 20000 + sum(cf) over {_PAST} as cash from v), t as (select *, cash + av as value from s), r as (select *, value / lag(value) over {_W} - 1 as r, max(value) over {_PAST} as peak from t), n as (select *, sum(case when value >= peak then 1 else 0 end) over {_PAST} as era from r), k as (select *, count(*) filter (value < peak) over (partition by ticker, era) as under from n),
+      b as (select trade_date, avg(pct_chg) / 100 as b from p group by 1)
+      select k.ticker, count(*) as days, round(arg_max(value, k.trade_date) / arg_min(value, k.trade_date) - 1, 5) as total_return, round(pow(arg_max(value, k.trade_date) / arg_min(value, k.trade_date), 252.0 / count(r)) - 1, 5) as annual_return, round(stddev_samp(r) * sqrt(252), 5) as volatility, round(avg(r) / case when stddev_samp(r) > 1e-12 then stddev_samp(r) end * sqrt(252), 5) as sharpe, round(min(value / peak - 1), 5) as max_drawdown, max(under) as drawdown_days,
+        round(covar_samp(case when b is not null then r end, case when r is not null then b end) / nullif(var_samp(case when r is not null then b end), 0), 5) as beta, round(avg(r - b), 5) as mean_excess, round(arg_max(av / value, k.trade_date), 5) as leverage from k left join b on b.trade_date = k.trade_date group by 1""",
+    "pt_transactions": f"{_ORD} select ticker, {_D}, order_no, side * size as amount, round(price, 8) as price, round(-side * size * price, 8) as value from ord",
 }

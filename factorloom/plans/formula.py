@@ -198,8 +198,8 @@ def parse(text: str) -> Node:
 
 #: History of functions that carry a state or see all rows so far.
 UNBOUNDED = 1 << 30
-_PAST = ("ffill", "cumulative", "expanding_max", "expanding_min", "drawdown", "expanding_mean", "expanding_std")
-_AHEAD = ("bfill", "future_max", "future_min", "future_mean", "future_std", "fixed_label")
+_PAST = ("ffill", "cumulative", "expanding_max", "expanding_min", "drawdown", "expanding_mean", "expanding_std", "rebase", "nonzero_difference", "cross_over")
+_AHEAD = ("bfill", "future_max", "future_min", "future_mean", "future_std", "fixed_label", "mean_label")
 _PLUS_ONE = ("aroon_up", "aroon_down")
 _LAGGED = ("delay", "delta", "pct_change", "roc", "log_return")
 _STEP = ("signed_volume", "crossed_above", "crossed_below", "true_range", "log_true_range")

@@ -180,6 +180,23 @@ FORMULAS: dict[str, tuple[str, str]] = {
     "lab_future_min": ("future_min(close, 5)", "case when count(close) over f >= 5 then min(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
     "lab_future_mean": ("future_mean(close, 5)", "case when count(close) over f >= 5 then avg(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
     "lab_future_std": ("future_std(close, 5)", "case when count(close) over f >= 5 then stddev_pop(close) over f end".replace(" f ", " (partition by ticker order by trade_date rows between 1 following and 5 following) ")),
+    "ind_ts_any": ("ts_any(pct_chg > 3 ? 1 : 0, 5)", f"select ticker, trade_date, case when count(*) over {_w(5)} >= 5 then max(u) over {_w(5)} end as value from (select *, case when pct_chg > 3 then 1.0 else 0.0 end as u from p)"),
+    "ind_ts_all": ("ts_all(pct_chg < 3 ? 1 : 0, 5)", f"select ticker, trade_date, case when count(*) over {_w(5)} >= 5 then min(u) over {_w(5)} end as value from (select *, case when pct_chg < 3 then 1.0 else 0.0 end as u from p)"),
+    "ind_since_highest": ("since_highest(high, 20)", _arrayed(_list("high", 20), 20, "case when len(l) >= 20 then list_position(list_reverse(l), list_max(l)) - 1 end")),
+    "ind_since_lowest": ("since_lowest(low, 20)", _arrayed(_list("low", 20), 20, "case when len(l) >= 20 then list_position(list_reverse(l), list_min(l)) - 1 end")),
+    "ind_since_first_highest": ("since_first_highest(high, 20)", _arrayed(_list("high", 20), 20, "case when len(l) >= 20 then 20 - list_position(l, list_max(l)) end")),
+    "ind_since_first_lowest": ("since_first_lowest(low, 20)", _arrayed(_list("low", 20), 20, "case when len(l) >= 20 then 20 - list_position(l, list_min(l)) end")),
+    "ind_ts_argmin": ("ts_argmin(close, 10)", _arrayed(_list("close", 10), 10, "case when len(l) >= 10 then list_position(l, list_min(l)) - 1 end")),
+    "ind_ts_median": ("ts_median(close, 15)", _full("median(close)", "close", 15)),
+    "ind_ts_kurt": ("ts_kurt(pct_chg, 20)", f"select ticker, trade_date, case when len(l) >= 20 and m2 > 1e-18 then m4 / (m2 * m2) - 3 end as value from (select *, list_sum([pow(v - m, 2) for v in l]) / len(l) as m2, list_sum([pow(v - m, 4) for v in l]) / len(l) as m4 from (select ticker, trade_date, {_list('pct_chg', 20)} as l, avg(pct_chg) over {_w(20)} as m from p))"),
+    "ind_partial_mean": ("partial_mean(close, 10, 3)", f"case when count(close) over {_w(10)} >= 3 then avg(close) over {_w(10)} end"),
+    "ind_partial_std": ("partial_std(close, 10, 3, 1)", f"case when count(close) over {_w(10)} >= 3 then stddev_samp(close) over {_w(10)} end"),
+    "ind_expanding_mean": ("expanding_mean(close, 5) * 0.7310585786", f"case when count(close) over {PAST} >= 5 then avg(close) over {PAST} * 0.7310585786 end"),
+    "ind_expanding_std": ("expanding_std(log(close), 5)", f"select ticker, trade_date, case when count(x) over {PAST} >= 5 then stddev_pop(x) over {PAST} end as value from (select ticker, trade_date, case when close > 0 then ln(close) end as x from p)"),
+    "ind_rebase": ("rebase(close, 100)", f"100 * close / nullif(first_value(close ignore nulls) over {PAST}, 0)"),
+    "ind_nonzero_difference": ("nonzero_difference(close, open)", f"last_value(nullif(close - open, 0) ignore nulls) over {PAST}"),
+    "sig_cross_over": ("cross_over(close, ts_mean(close, 10))", f"select ticker, trade_date, case when b < 0 and d > 0 then 1 when b > 0 and d < 0 then -1 else 0 end as value from (select *, last_value(nullif(d, 0) ignore nulls) over (partition by ticker order by trade_date rows between unbounded preceding and 1 preceding) as b from (select ticker, trade_date, close - {_full('avg(close)', 'close', 10)} as d from p))"),
+    "lab_mean": ("mean_label(close, 5, 2)", f"case when count(close) over f >= 5 then avg(close) over f / nullif(close, 0) - 1 end".replace(" f ", " (partition by ticker order by trade_date rows between 2 following and 6 following) ")),
 }
 #: Formulas SQL doesn't express on whole tables; tested against pandas instead.
 UNSQL: dict[str, str] = {
@@ -229,7 +246,7 @@ def _oracle_of_tables(sql: str, digits: int = 6) -> str:
 
 
 #: The panel column that stands for each parameter of a library indicator.
-_PUT = {"X": "close", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "amount"}
+_PUT = {"X": "close", "Y": "open", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "amount"}
 for _n, (_params, _) in LIBRARY.items():
     _call = CALLS.get(_n) or f"{_n}({', '.join(_PUT[p] for p, default in _params if default is None)})"
     if (_sql := library_sql(_n)) is None:

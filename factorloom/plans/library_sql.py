@@ -192,9 +192,18 @@ SQL: dict[str, str] = {
     "oscillator": f"close - {avg('close', 30)}",
     "ulcer_performance": nested(f"100 * (close / nullif({full('max', 'close', 14)}, 0) - 1) as d", f"{avg('r', 14)} / nullif(sqrt({full('avg', 'd * d', 14)}) / 100, 0)"),
     "sortino_population": f"{avg('r', 20)} / nullif({full('stddev_pop', 'r', 20)}, 0) * sqrt(20)",
+    "demark_pivot": f"(case when coalesce(c1 < {lag('open', 1)}, false) then h1 + 2 * l1 + c1 when coalesce(c1 > {lag('open', 1)}, false) then 2 * h1 + l1 + c1 else h1 + l1 + 2 * c1 end) / 4",
+    "fibonacci_s1": "(h1 + l1 + c1) / 3 - 0.382 * (h1 - l1)",
+    "pivot_r2": "(h1 + l1 + c1) / 3 + h1 - l1",
+    "pivot_s2": "(h1 + l1 + c1) / 3 - (h1 - l1)",
+    "information_ratio_rolling": nested(f"r - (open - {lag('open', 1)}) / nullif({lag('open', 1)}, 0) as e", ratio(avg("e", 20), full("stddev_samp", "e", 20))),
+    "rolling_beta": nested(f"r as a, (open - {lag('open', 1)}) / nullif({lag('open', 1)}, 0) as b", f"case when count(a + b) over {w(20)} = 20 then covar_pop(a, b) over {w(20)} / nullif(case when count(b) over {w(20)} = 20 then var_pop(b) over {w(20)} end, 0) end"),
+    "rolling_calmar": nested(f"{listed('close', 20)} as l", f"case when count(r) over {w(20)} = 20 and len(l) = 20 and abs(close / nullif({lag('close', 20)}, 0) - 1) < 0.5 then (pow(close / {lag('close', 20)}, 252.0 / 20) - 1) / nullif(abs(least({_DRAWDOWN}, 0)), 0) end"),
+    "rolling_tail_ratio": f"case when count(r) over {w(40)} = 40 then abs(quantile_cont(r, 0.95) over {w(40)}) / nullif(abs(quantile_cont(r, 0.05) over {w(40)}), 0) end",
+    "rolling_value_at_risk": f"case when count(r) over {w(40)} = 40 then quantile_cont(r, 0.05) over {w(40)} end",
 }
 #: Calls other than with the defaults: so that the test tables fill the windows, or the values stay of a size.
-CALLS = {"heikin_delta": "heikin_delta(open, high, low, close) / 3.7", "rolling_annualized": "only_if(abs(close / delay(close, 20) - 1) < 0.5, rolling_annualized(close, 20))", "dv2": "dv2(high, low, close, 20, 2)", "normalized_positive_volume_index": "normalized_positive_volume_index(close, volume, 10, 40)", "normalized_negative_volume_index": "normalized_negative_volume_index(close, volume, 10, 40)", "normal_score": "normal_score(close - 10, 0.1)"}
+CALLS = {"rolling_calmar": "only_if(abs(close / delay(close, 20) - 1) < 0.5, rolling_calmar(close, 20))", "heikin_delta": "heikin_delta(open, high, low, close) / 3.7", "rolling_annualized": "only_if(abs(close / delay(close, 20) - 1) < 0.5, rolling_annualized(close, 20))", "dv2": "dv2(high, low, close, 20, 2)", "normalized_positive_volume_index": "normalized_positive_volume_index(close, volume, 10, 40)", "normalized_negative_volume_index": "normalized_negative_volume_index(close, volume, 10, 40)", "normal_score": "normal_score(close - 10, 0.1)"}
 
 
 def library_sql(name: str) -> str | None:

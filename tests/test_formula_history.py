@@ -33,7 +33,7 @@ def table(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-PUT = {"X": "close", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "volume"}
+PUT = {"X": "close", "Y": "open", "O": "open", "H": "high", "L": "low", "C": "close", "V": "volume", "A": "volume"}
 
 
 def test_trimmed_history_gives_the_same_rows(spark, table):
