@@ -121,4 +121,7 @@ LIBRARY: dict[str, tuple[tuple[tuple[str, float | None], ...], str]] = {
     "rolling_calmar": ((("X", None), ("N", 20)), "(power(ts_prod(1 + pct_change(X, 1), N), 252 / N) - 1) / abs(ts_max_drawdown(X, N))"),
     "rolling_tail_ratio": ((("X", None), ("N", 40)), "abs(ts_quantile(pct_change(X, 1), N, 0.95)) / abs(ts_quantile(pct_change(X, 1), N, 0.05))"),
     "rolling_value_at_risk": ((("X", None), ("N", 40)), "ts_quantile(pct_change(X, 1), N, 0.05)"),
+    "price_intensity": ((("O", None), ("H", None), ("L", None), ("C", None), ("S", 0.8)), "normal_score((C - O) / true_range(H, L, C), S)"),
+    "macd_score": ((("H", None), ("L", None), ("C", None), ("N", 12), ("M", 26), ("S", 1)), "normal_score((ewm_mean(C, N) - ewm_mean(C, M)) / (sqrt(0.5 * (M - N)) * ts_mean(true_range(H, L, C), M)), S)"),
+    "detrended_rsi": ((("X", None), ("A", 5), ("B", 20), ("N", 30)), "ts_linreg(rsi_from_steps(X, A), rsi_from_steps(X, B), N, 'resid')"),
 }

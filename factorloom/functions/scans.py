@@ -297,6 +297,22 @@ def ewm_std(pdf: pd.DataFrame, x: str, out: str, window: int, adjust: bool = Fal
     return pdf.assign(**{out: pdf[x].ewm(span=window, adjust=adjust).std()})
 
 
+def ewm_mean(pdf: pd.DataFrame, x: str, out: str, window: int, adjust: bool = False) -> pd.DataFrame:
+    """Exponentially weighted mean of span `window` from the first value on."""
+    return pdf.assign(**{out: pdf[x].ewm(span=window, adjust=adjust).mean()})
+
+
+def rsi_from_steps(pdf: pd.DataFrame, x: str, out: str, window: int = 14) -> pd.DataFrame:
+    """Relative strength index whose averages begin with the first window - 1 steps, a bar earlier than rsi's."""
+    step = pdf[x].dropna().diff().iloc[1:]
+    ups, downs = (_smooth(v.to_numpy(float), window - 1, 1 / window) for v in (step.clip(lower=0), -step.clip(upper=0)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.where(ups + downs > 0, 100 * ups / (ups + downs), np.nan)
+    # the bar that completes the first average has no value yet
+    r[: window - 1] = np.nan
+    return pdf.assign(**{out: pd.Series(r, step.index).reindex(pdf.index)})
+
+
 def trend_position(pdf: pd.DataFrame, x: str, out: str, window: int = 0, up: float = 0.05, down: float = 0.05, mode: str = "binary") -> pd.DataFrame:
     """Where a row stands between its zig-zag's extrema: binary (1 while rising to a high), scaled (0 at the low to 1 at the high) or change (share to the next extreme)."""
     marks = trend_label(pdf, x, "_m", 0, up, down)["_m"].to_numpy(float)
@@ -312,7 +328,7 @@ def trend_position(pdf: pd.DataFrame, x: str, out: str, window: int = 0, up: flo
     return pdf.assign(**{out: res})
 
 
-SCANS |= {f.__name__: f for f in (zero_lag_indicator, hurst, ewm_std, trend_position, adx, parabolic_sar, heikin_open, supertrend, renko_level, triple_barrier, zero_lag_ema, tsi)}
+SCANS |= {f.__name__: f for f in (zero_lag_indicator, hurst, ewm_mean, ewm_std, rsi_from_steps, trend_position, adx, parabolic_sar, heikin_open, supertrend, renko_level, triple_barrier, zero_lag_ema, tsi)}
 #: Scans that see later rows only.
 AHEAD_SCANS = ("triple_barrier",)
 #: How many columns a scan reads, where it is more than one.

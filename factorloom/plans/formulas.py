@@ -209,7 +209,7 @@ UNSQL: dict[str, str] = {
     "fx_ts_cumsum_agg_min_backward": "ts_cumsum_agg(pct_chg, 4, 'min', 'backward')",
     "fx_clip_mad_rolling": "clip_mad(close, 3.0, cross_section=False, window=20)",
     "fx_winsorize_rolling": "winsorize_quantile(close, 0.1, 0.1, cross_section=False, window=20)",
-    "ind_ema": "ema(close, 12)", "ind_smma": "smma(close, 14)", "ind_dema": "dema(close, 10)", "ind_tema": "tema(close, 10)", "ind_macd": "macd(close, 12)", "ind_rsi": "rsi(close, 14)",
+    "ind_ema": "ema(close, 12)", "ind_ewm_mean": "ewm_mean(close, 10)", "ind_ewm_std": "ewm_std(close, 10)", "ind_hurst": "hurst(close, 40)", "ind_trend_position": "trend_position(close)", "ind_smma": "smma(close, 14)", "ind_dema": "dema(close, 10)", "ind_tema": "tema(close, 10)", "ind_macd": "macd(close, 12)", "ind_rsi": "rsi(close, 14)",
     "ind_trix": "trix(close, 5)", "ind_kama": "kama(close, 10)", "ind_laguerre": "laguerre(close, 0) * 0.7310585786", "ind_skew": "ts_skew(pct_chg, 20)", "lab_trend": "trend_label(close, 0)", "sig_stop_exit": "stop_exit(close, 0)",
     "ind_adx": "adx(high, low, close, 14)", "ind_parabolic_sar": "parabolic_sar(high, low, 0)", "ind_heikin_open": "heikin_open(open, high, low, close) / 3.7", "ind_supertrend": "supertrend(high, low, close, 10)", "ind_renko": "renko_level(close)", "lab_triple_barrier": "triple_barrier(close, 10)", "ind_zero_lag_ema": "zero_lag_ema(close, 12)", "ind_tsi": "tsi(close, 25)",
     "fx_neutralize_rank": "industry_neutralize(close, industry, 'rank')",

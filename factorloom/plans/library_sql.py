@@ -201,6 +201,7 @@ SQL: dict[str, str] = {
     "rolling_calmar": nested(f"{listed('close', 20)} as l", f"case when count(r) over {w(20)} = 20 and len(l) = 20 and abs(close / nullif({lag('close', 20)}, 0) - 1) < 0.5 then (pow(close / {lag('close', 20)}, 252.0 / 20) - 1) / nullif(abs(least({_DRAWDOWN}, 0)), 0) end"),
     "rolling_tail_ratio": f"case when count(r) over {w(40)} = 40 then abs(quantile_cont(r, 0.95) over {w(40)}) / nullif(abs(quantile_cont(r, 0.05) over {w(40)}), 0) end",
     "rolling_value_at_risk": f"case when count(r) over {w(40)} = 40 then quantile_cont(r, 0.05) over {w(40)} end",
+    "price_intensity": f"case when tr <> 0 and close is not null and open is not null then {score('(close - open) / tr', 0.8)} end",
 }
 #: Calls other than with the defaults: so that the test tables fill the windows, or the values stay of a size.
 CALLS = {"rolling_calmar": "only_if(abs(close / delay(close, 20) - 1) < 0.5, rolling_calmar(close, 20))", "heikin_delta": "heikin_delta(open, high, low, close) / 3.7", "rolling_annualized": "only_if(abs(close / delay(close, 20) - 1) < 0.5, rolling_annualized(close, 20))", "dv2": "dv2(high, low, close, 20, 2)", "normalized_positive_volume_index": "normalized_positive_volume_index(close, volume, 10, 40)", "normalized_negative_volume_index": "normalized_negative_volume_index(close, volume, 10, 40)", "normal_score": "normal_score(close - 10, 0.1)"}

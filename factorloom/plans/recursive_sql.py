@@ -32,8 +32,8 @@ def _both(value: str, first: str, *others: str) -> str:
     return f"select ticker, trade_date, {value} as value from {first} " + " ".join(f"join {o} {_JOIN}" for o in others)
 
 
-def _ewma(half_life: float) -> str:
-    a = 1 - 0.5 ** (1 / half_life)
+def _ewma(half_life: float = 0.0, span: float | None = None) -> str:
+    a = 2 / (span + 1) if span else 1 - 0.5 ** (1 / half_life)
     return f"""d as (select ticker, trade_date, close, row_number() over {P} as i from p),
 r(ticker, i, m, w) as (select ticker, i, close, 1.0::double from d where i = 1 union all
   select d.ticker, d.i, case when d.close is null then r.m when r.m is null then d.close else (r.w * {1 - a!r} * r.m + {a!r} * d.close) / (r.w * {1 - a!r} + {a!r}) end,
@@ -83,7 +83,7 @@ SQL: dict[str, str] = {
     "lib_trix_signal": f"{_TRIX15}, {ema('g', 9, 'tx', 'x')} select ticker, trade_date, x as value from g",
     "ind_zero_lag_ema": f"z as (select ticker, trade_date, close + (close - lag(close, 5) over {P}) as x from p), {ema('e', 12, 'z', 'x')} select ticker, trade_date, x as value from e",
     "ind_tsi": f"{_steps('st')}, {ema('a', 25, 'st', 'd')}, {ema('b', 13, 'a', 'x')}, {ema('c', 25, 'st', 'abs(d)')}, {ema('e', 13, 'c', 'x')} " + _both("100 * b.x / nullif(e.x, 0)", "b", "e"),
-    "fx_ewma": _ewma(5), "fx_ewma_half_life": _ewma(3.0),
+    "ind_ewm_mean": _ewma(span=10), "fx_ewma": _ewma(5), "fx_ewma_half_life": _ewma(3.0),
     "ind_heikin_open": f"""k as (select ticker, trade_date, open as o, close as c, (open + high + low + close) / 4 as hc, row_number() over {P} as i from p where open + high + low + close is not null),
 r(ticker, i, ho) as (select ticker, i, (o + c) / 2 from k where i = 1 union all select k.ticker, k.i, (r.ho + b.hc) / 2 from r join k on k.ticker = r.ticker and k.i = r.i + 1 join k b on b.ticker = r.ticker and b.i = r.i)
 select p.ticker, p.trade_date, r.ho / 3.7 as value from p left join k {_JOIN} left join r on r.ticker = k.ticker and r.i = k.i""",

@@ -57,7 +57,7 @@ def p1_corrected(spark: SparkSession, d: str) -> DataFrame:
     version = F.struct(F.col("created_at").alias("_v"), F.when(~F.isnan("volume"), F.col("volume")).alias("volume"))
     early = F.col("created_at").isNull() | (F.col("created_at") < F.lit(STORED_UNTIL).cast("timestamp"))
     both = t.groupBy("ticker", "day").agg(F.max(version).alias("now"), F.max(F.when(early, version)).alias("before"))
-    trees = rolling_totals.tree_table(both.where("before is not null").select("ticker", "day", "before.volume"), "ticker", "day", "volume")
+    trees = cut_lineage(rolling_totals.tree_table(both.where("before is not null").select("ticker", "day", "before.volume"), "ticker", "day", "volume"))
     zero, has = F.lit(0.0), lambda c: F.col(c).isNotNull().cast("int")
     late = both.where("before is null or not (now.volume <=> before.volume)").select("ticker", "day", (F.coalesce("now.volume", zero) - F.coalesce("before.volume", zero)).alias("delta"), (has("now.volume") - has("before.volume")).alias("added"))
     out = rolling_totals.totals_from_trees(rolling_totals.correct_tree_table(trees, late, "ticker", "day"), "ticker", "day", (7, 30))

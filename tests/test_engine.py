@@ -190,3 +190,23 @@ def test_business_days(spark):
     a, b = dt.date(2024, 1, 5), dt.date(2024, 1, 9)
     df = spark.createDataFrame([(a, b), (b, a), (a, a)], "a date, b date")
     assert [r[0] for r in df.select(tables.business_days(F.col("a"), F.col("b"))).collect()] == [2, -2, 0]
+
+
+def test_later_scans_against_plain_loops():
+    rng = np.random.default_rng(2)
+    x = 10 + np.cumsum(rng.normal(0, 0.3, 120))
+    pdf = pd.DataFrame({"x": x})
+    got = scans.rsi_from_steps(pdf, "x", "o", 5)["o"].to_numpy()
+    step = np.diff(x)
+    up, down = np.maximum(step[:4], 0).mean(), np.maximum(-step[:4], 0).mean()
+    for i in range(5, 120):
+        up, down = (4 * up + max(step[i - 1], 0)) / 5, (4 * down + max(-step[i - 1], 0)) / 5
+        assert got[i] == pytest.approx(100 * up / (up + down))
+    assert np.isnan(got[:5]).all()
+    walk, trend = (scans.hurst(pd.DataFrame({"x": v}), "x", "o", 60)["o"].mean() for v in (x, np.arange(120.0) ** 2))
+    assert walk < trend
+    pos = scans.trend_position(pd.DataFrame({"x": [1, 2, 3, 2.5, 2, 1, 2, 4.0, 3]}), "x", "o", mode="scaled")["o"].tolist()
+    assert pos[2] == 1.0 and pos[5] == 0.0 and pos[3] == pytest.approx(0.75) and np.isnan(pos[8])
+    z = scans.zero_lag_indicator(pdf, "x", "o", 12)["o"].to_numpy()
+    e = scans.ema(pdf, "x", "o", 12)["o"].to_numpy()
+    assert np.nanmean(np.abs(z - x)[20:]) < np.nanmean(np.abs(e - x)[20:])

@@ -14,6 +14,7 @@ DATA = "/root/testdata/sf0.001"
 SOME = [
     "p1_found", "p1_totals", "p1_corrected", "p2_found", "p3_found", "p6_found", "fx_where", "fx_ts_rank", "fx_ts_argmax", "fx_cs_rank", "fx_clip_mad_cs", "fx_winsorize_cs", "fx_nested_factor", "fx_cs_linreg_resid",
     "ind_atr", "ind_aroon_up", "sig_crossed_above", "lab_future_max", "an_ic_spearman", "an_quantile_returns", "an_event_study", "an_metrics", "t_asof_backward", "t_asof_forward", "t_resample_days", "t_previous_sessions", "t_runs", "t_upsert", "pl_ranks", "pl_top_bottom", "rk_covariance", "bt_holdings",
+    "p2_filled", "p5_ranges", "pt_values", "pt_signal_orders", "sg_ranks", "sp_walk_forward", "ev_equity", "pp_along", "es_next_quarters", "ts_positions", "br_fill_session", "st_store", "rc_reduce", "az_account", "lib_linear_trend", "ind_adx", "stream_bars",
 ]
 pytestmark = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="no test tables here")
 
