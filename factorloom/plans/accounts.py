@@ -125,7 +125,7 @@ def sg_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 def sg_ranges(spark: SparkSession, d: str) -> DataFrame:
     """From every fall to the next rise."""
-    return _rounded(sg.ranges_between(_flags(spark, d), "fall", "rise"))
+    return _rounded(sg.ranges_between(_flags(spark, d), "fall", "rise").withColumn("rows", F.col("rows").cast("double")))
 
 
 def sg_partitions(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +307,7 @@ ORACLES = {
       select ticker, {_D}, case when fa > 0 then fa else 0.0 end as filled, round(close * (1 + 0.1 * pow(least(fa / volume, 0.025), 2)), 10) as fill_price, fb as bps_filled, round(pb, 10) as bps_price, round(close * (1 + 0.049 * sd * sqrt(5000 / mv)), 6) as impact_price, round(greatest(fb * 0.001 + fb * pb * 0.0003, 5) + fb * pb * 0.001, 10) as commission from x""",
     "sg_clean": f"{_FLAG}, s as (select *, case when rise and not fall then 1 when fall and not rise then -1 end as s from f), k as (select *, coalesce(lag(s) over {_W}, -1) as before from s where s is not null) select ticker, {_D}, s = 1 as rise, s = -1 as fall from k where s <> before",
     "sg_ranks": _RUNS + f", k as (select ticker, trade_date, row_number() over (partition by ticker, g order by trade_date) - 1 as pos, dense_rank() over (partition by ticker order by g) - 1 as part from g) select f.ticker, strftime(f.trade_date, '%Y-%m-%d') as trade_day, cast(coalesce(pos, -1) as integer) as pos_rank, cast(coalesce(part, -1) as integer) as partition_rank from f left join k using (ticker, trade_date)",
-    "sg_ranges": f"{_NEXT} select ticker, strftime(a, '%Y-%m-%d') as start_day, strftime(b, '%Y-%m-%d') as end_day, cast(j - i as integer) as rows from n",
+    "sg_ranges": f"{_NEXT} select ticker, strftime(a, '%Y-%m-%d') as start_day, strftime(b, '%Y-%m-%d') as end_day, cast(j - i as double) as rows from n",
     "sg_partitions": f"{_RUNS} select ticker, strftime(a, '%Y-%m-%d') as start_day, strftime(b, '%Y-%m-%d') as end_day, cast(n as integer) as rows, is_open from r",
     "sg_coverage": f"{_RUNS} select f.ticker, round(coalesce(any_value(c.c), 0) / count(*), 6) as coverage from f left join (select ticker, sum(n) as c from r group by 1) c on f.ticker = c.ticker group by 1",
     "sg_mask": f"{_NEXT} select f.ticker, strftime(f.trade_date, '%Y-%m-%d') as trade_day, count(n.a) > 0 as inside from f left join n on n.ticker = f.ticker and f.trade_date >= n.a and (n.b is null or f.trade_date <= n.b) group by 1, 2",

@@ -90,7 +90,7 @@ def _reports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _quarters(spark: SparkSession, d: str, forward: bool) -> DataFrame:
     days, est = _reports(spark, d)
     q = es.quarters_as_of(days, est, "ticker", "day", "known", "quarter", "event", ["eps"], (1, 2), forward)
-    return q.select("ticker", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"), "q1", F.round("eps_1", 6).alias("eps_1"), "q2", F.round("eps_2", 6).alias("eps_2"))
+    return q.select("ticker", F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("trade_day"), F.col("q1").cast("double").alias("q1"), F.round("eps_1", 6).alias("eps_1"), F.col("q2").cast("double").alias("q2"), F.round("eps_2", 6).alias("eps_2"))
 
 
 def es_next_quarters(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _quarters_sql(forward: bool) -> str:
     side, pick, sign = (">=", "arg_min(q, (event, q))", "+") if forward else ("<", "arg_max(q, (event, q))", "-")
     return f"""with {_EST}, k as (select d.ticker, d.day, e.q, e.event, e.eps from d join e on e.ticker = d.ticker and e.known <= d.day qualify row_number() over (partition by d.ticker, d.day, e.q order by e.known desc, e.event desc, e.eps desc) = 1),
 n as (select ticker, day, {pick} filter (event {side} day) as near from k group by 1, 2)
-select d.ticker, strftime(d.day, '%Y-%m-%d') as trade_day, n.near as q1, round(a.eps, 6) as eps_1, n.near {sign} 1 as q2, round(b.eps, 6) as eps_2
+select d.ticker, strftime(d.day, '%Y-%m-%d') as trade_day, cast(n.near as double) as q1, round(a.eps, 6) as eps_1, cast(n.near {sign} 1 as double) as q2, round(b.eps, 6) as eps_2
 from d left join n using (ticker, day) left join k a on a.ticker = d.ticker and a.day = d.day and a.q = n.near left join k b on b.ticker = d.ticker and b.day = d.day and b.q = n.near {sign} 1"""
 
 
