@@ -9,6 +9,7 @@ values unless their docstring says otherwise.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, Window, WindowSpec
@@ -351,8 +352,13 @@ def standardize(k: Keys, x: str, cross_section: bool = False, expanding: bool =
     return div(F.col(x) - F.avg(F.col(x)).over(w), F.when(s > 1e-12, s))
 
 
-def _median(arr: Column) -> Column:
-    s = F.array_sort(arr)
+def _once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of c, with c computed once however often fn names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
+def _middle(s: Column) -> Column:
+    """Median of a sorted array."""
     n = F.size(s)
     at = lambda i: F.try_element_at(s, i.cast("int"))
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2)
@@ -361,18 +367,18 @@ def _median(arr: Column) -> Column:
 def clip_mad(k: Keys, x: str, multiplier: float = 3.0, cross_section: bool = False, expanding: bool = False, window: int | None = None) -> Column:
     """Clip to median +- multiplier * 1.4826 * MAD of the last rows or of all so far.
 
-    The compiler lays the cross-section form out in levels of cs_median, so that no row
-    carries its date's values.
+    A row sorts its values once and their distances from the median once. The compiler
+    lays the cross-section form out in levels of cs_median, so that no row carries its
+    date's values.
     """
-    arr = F.collect_list(F.col(x)).over(_frame(k, False, expanding, window))
-    both = F.transform(F.array(arr), lambda a: F.struct(_median(a).alias("m"), (1.4826 * multiplier * _mad(a)).alias("d")))
-    out = F.element_at(F.transform(both, lambda s: F.greatest(F.least(F.col(x), s.m + s.d), s.m - s.d)), 1)
-    return F.when(F.col(x).isNotNull(), out)
 
+    def about(values: Column, m: Column) -> Column:
+        far = F.sort_array(F.transform(values, lambda v: F.abs(v - m)))
+        mad = _once(far, _middle)
+        return _once(1.4826 * multiplier * mad, lambda d: F.greatest(F.least(F.col(x), m + d), m - d))
 
-def _mad(arr: Column) -> Column:
-    m = _median(arr)
-    return _median(F.transform(arr, lambda v: F.abs(v - m)))
+    arr = F.sort_array(F.collect_list(F.col(x)).over(_frame(k, False, expanding, window)))
+    return F.when(F.col(x).isNotNull(), _once(arr, lambda s: _once(_middle(s), lambda m: about(s, m))))
 
 
 def winsorize_quantile(k: Keys, x: str, low: float = 0.1, high: float = 0.1, cross_section: bool = False, expanding: bool = False, window: int | None = None) -> Column:

@@ -1,6 +1,7 @@
 """Formula language, scans, sources, streaming, risk and back-test."""
 
 import datetime as dt
+import time
 import zipfile
 
 import numpy as np
@@ -110,6 +111,24 @@ def test_rolling_clip_and_neutral_rank(spark, panel, wide):
         assert abs(r["q"] - NormalDist().inv_cdf(r["p"])) < 1e-7
 
 
+def test_rolling_clip_sorts_a_window_once(spark):
+    # 600 rows of 120 values: about a second when warm; over 80 s when each value's distance sorted the window again
+    v = np.exp(np.random.default_rng(1).normal(0, 1, 600))
+    days = pd.date_range("2023-01-01", periods=600).date
+    rows = spark.createDataFrame([("a", d, float(x)) for d, x in zip(days, v)], "ticker string, trade_date date, x double")
+    began = time.monotonic()
+    got = evaluate(rows, {"value": "clip_mad(x, 3.0, cross_section=False, window=120)"}).toPandas().sort_values("trade_date")["value"]
+    took = time.monotonic() - began
+    want = []
+    for i in range(600):
+        w = v[max(0, i - 119) : i + 1]
+        m = np.median(w)
+        d = 1.4826 * 3 * np.median(np.abs(w - m))
+        want.append(np.clip(v[i], m - d, m + d))
+    np.testing.assert_allclose(got, want, rtol=1e-12)
+    assert took < 30
+
+
 def test_scans():
     x = pd.DataFrame({"x": [1.0, 2, np.nan, 4, 3, 5, 6, 2, 9, 8]})
     e = scans.ema(x, "x", "o", 3)["o"]
